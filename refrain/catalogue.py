@@ -1,0 +1,8 @@
+"""The queries over the reference's operators, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
