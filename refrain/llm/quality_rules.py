@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refrain.llm.common import as_bytes, read
 
@@ -180,9 +182,10 @@ def with_counts(docs: DataFrame, text: str = "text", limits: Limits = Limits())
             struct = pa.StructArray.from_arrays(arrays, fields=[pa.field(n, t) for n, t in fields])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), struct], names=[*keep, "quality"])
 
-    types = {pa.int64(): "bigint", pa.bool_(): "boolean"}
-    schema = docs.select(*(f"`{c}`" for c in keep)).schema.add("quality", "struct<" + ",".join(f"{n}:{types[t]}" for n, t in fields) + ">")
-    return docs.select(*(f"`{c}`" for c in keep), as_bytes(text, "__text")).mapInArrow(judged, schema)
+    kinds = {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType()}
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
+    schema = docs.select(*quoted).schema.add("quality", T.StructType([T.StructField(n, kinds[t]) for n, t in fields]))
+    return docs.select(*quoted, as_bytes(text, "__text")).mapInArrow(judged, schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
