@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     clusters = rest.unionByName(rest.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "cluster")
     sizes = stored(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
     members = stored(clusters.join(sizes, "cluster").select("id", "cluster", "blocks", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("own")), "members")
-    sets = _with_sets(members.join(docs.withColumnRenamed("doc_id", "id"), "id").select("id", "cluster", "blocks", "own", "text"), p)
+    sets = _with_sets(members.join(docs.withColumnRenamed("doc_id", "id").hint("merge"), "id").select("id", "cluster", "blocks", "own", "text"), p)
     met = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "found")
     linked = components(_links(met, p))
     moved = stored(classes.select("set_key", "id", "n").join(linked, "id", "left").where("n > 1 or component is not null").select("set_key", F.coalesce("component", "id").alias("component")), "moved")
