@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from refrain.llm import near_dedup, packing, pii, quality_classifier, quality_rules
+from refrain.llm import near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filter": url_filter.OP6_SQL,
+}
