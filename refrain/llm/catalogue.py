@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from refrain.llm import near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
+from refrain.llm import chat, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_chat_format": chat.op5_chat_format,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
@@ -14,5 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": chat.op5_chat_format,
+    "op5_chat_format": chat.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
 }
