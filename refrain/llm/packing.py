@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import os
 import random
+import re
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,8 @@ from refrain.llm.common import as_bytes, batches, read, stored
 LIMIT = 2048
 #: Pieces that are packed together, on average.
 GROUP = 40_000
+PLAIN = bytes(c for c in range(32, 127) if c != 39) + b"\t\n\x0b\x0c\r"
+UNITS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
 #: Words that a worker keeps the ids of, at most.
 KEEP_WORDS = 350_000
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe
@@ -43,39 +48,57 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts: dict[bytes, bytes] = {}
 
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, bytes]:
         """The word without its punctuation at the end, and that; the latter is empty where they can't be told apart."""
         core = word.rstrip(PUNCTUATION)
-        if len(core) in (0, len(word)):
+        if core == word or not core:
             return word, b""
         last = core[-4:].decode("utf-8", "replace")[-1]
         return (core, word[len(core) :]) if last.isalnum() and ord(last) < 0x250 else (word, b"")
 
-    def learn(self, texts: list[list[bytes]]) -> None:
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        """The units of a text: words, or runs of letters and digits and of punctuation where neither an apostrophe nor
+        anything but ASCII and the letters of Latin-1 could make the pattern look across them."""
+        low = text.lower()
+        rest = low.translate(None, PLAIN)
+        if not rest or (2 * rest.count(b"\xc3") == len(rest) and b"\xc3\x97" not in low and b"\xc3\xb7" not in low):
+            return UNITS.findall(low)
+        return low.split()
+
+    def learn(self, words: set[bytes]) -> None:
         if len(self) > KEEP_WORDS:
             self.clear()
-        if len(self.parts) > KEEP_WORDS:
-            self.parts.clear()
-        new = [(word, *self.cut(word)) for word in set().union(*texts).difference(self)]
-        parts = list({part for _, *both in new for part in both}.difference(self.parts))
-        for at in range(0, len(parts), 500):
-            some = parts[at : at + 500]
-            texts_of = [w.decode("utf-8", "replace") for w in some]
-            found = self.tokenizer.encode(" ".join(texts_of), add_special_tokens=False)
+        cut = {word: self.cut(word) for word in words}
+        new = list({part for both in cut.values() for part in both}.difference(self))
+        for at in range(0, len(new), 500):
+            some = new[at : at + 500]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
-            ends = np.cumsum([len(t) + 1 for t in texts_of])
-            low = 0
-            for part, high in zip(some, np.searchsorted([start for start, _ in found.offsets], ends).tolist(), strict=True):
-                self.parts[part] = ids[4 * low : 4 * high]
-                low = high
-        for word, core, end in new:
-            self[word] = self.parts[core] + self.parts[end]
-
-    def of(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            highs = (4 * np.searchsorted(np.array([start for start, _ in found.offsets]), ends)).tolist()
+            self.update(zip(some, map(ids.__getitem__, map(slice, [0, *highs[:-1]], highs)), strict=True))
+        for word, (core, end) in cut.items():
+            if end:
+                self[word] = self[core] + self[end]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        split = [self.split(text) for text in texts]
+        found = [list(map(self.get, words)) for words in split]
+        new: set[bytes] = set()
+        for words, ids in zip(split, found, strict=True):
+            new.update(compress(words, map(not_, ids)))
+        self.learn(new)
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                for i, one in enumerate(ids):
+                    if one is None:
+                        ids[i] = self[words[i]]
+        return list(map(b"".join, found))
 
 
 def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -93,10 +116,8 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             for batch in stream:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    split = [t.as_py().lower().split() for t in part.column(1)]
-                    known.learn(split)
-                    for i, words in zip(part.column(0).to_pylist(), split, strict=True):
-                        ids = known.of(words) + b"\0\0\0\0"
+                    for i, ids in zip(part.column(0).to_pylist(), known.of(part.column(1).to_pylist()), strict=True):
+                        ids += b"\0\0\0\0"
                         for k, start in enumerate(range(0, len(ids), 4 * limit)):
                             own = ids[start : start + 4 * limit]
                             yield i, k, start // 4, len(own) // 4, own, draw.getrandbits(31)
