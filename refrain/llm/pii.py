@@ -124,7 +124,7 @@ def disclosing(docs: DataFrame, near: DataFrame, p: PiiParams) -> DataFrame:
     entities = stored(near.select("entity", "doc_id", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity")), "entities")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     wanted = pairs.select("term").distinct()
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term", "left_semi")
+    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term")
     total = docs.agg(F.count("*").alias("total"))
     found = pairs.join(stored(terms, "terms"), "term").join(entities, "entity").crossJoin(F.broadcast(total))  # total: one row
     content = F.log(F.col("total") / F.col("with_entity"))
