@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from refrain.llm import chat, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
+from refrain.llm import byte_bpe, chat, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_chat_format": chat.op5_chat_format,
