@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from refrain.llm import byte_bpe, chat, lz_fingerprint, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
+from refrain.llm import byte_bpe, chat, lz_fingerprint, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": chat.op5_chat_format,
+    "op1_warc": warc.OP1_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
 }
