@@ -28,7 +28,7 @@ from refrain.llm.shingles import ODD, WordHashes, mix64
 class ClassifierParams:
     """sample: labelled rows to fit on, at most. bits: log2 of the columns. threshold: score from which a row is of label 1."""
 
-    sample: int = 6000
+    sample: int = 4000
     bits: int = 18
     alpha: float = 1.0
     c: float = 3.0

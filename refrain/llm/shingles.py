@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 #: Words that a worker keeps the hashes of, at most.
-KEEP_WORDS = 400_000
+KEEP_WORDS = 250_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
