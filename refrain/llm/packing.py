@@ -7,12 +7,11 @@ sequences per residual gap becomes smallest. A group leaves a few sequences unfi
 
 from __future__ import annotations
 
+import json
 import os
 import random
 import re
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -25,80 +24,78 @@ from refrain.llm.common import as_bytes, batches, read, stored
 LIMIT = 2048
 #: Pieces that are packed together, on average.
 GROUP = 40_000
-PLAIN = bytes(c for c in range(32, 127) if c != 39) + b"\t\n\x0b\x0c\r"
-UNITS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
-#: Words that a worker keeps the ids of, at most.
-KEEP_WORDS = 350_000
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe
+#: What marks the end of a word for tiktoken. No text that it gets holds it.
+END = b"\0"
+MARK = "\0"
+#: Letters that the pattern's classes surely hold, and anything but them, printable ASCII, its white space and common punctuation.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+OTHER = re.compile(f"[^ -~\t\n\x0b\x0c\r{LATIN}\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u20ac]")
+UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\\sa-z0-9{LATIN}]+")
 VOCABULARY = "word_bpe_49k.json"
 
 
-class WordIds(dict):
-    """Ids, as little-endian bytes, of what lies between ASCII white space in a text with A-Z lower-cased.
+def merge_table(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """The vocabulary as ranks for tiktoken, with END after what ends a word: None if those merges might differ.
 
-    The tokenizer lower-cases and drops white space, and neither its normalizer nor its pattern looks across white
-    space, so the ids of a text are those of its words. Nor does the pattern look from a letter or digit to a run of
-    ASCII punctuation but for the apostrophe, so such a run at the end of a word has its own ids, too. Words that hold
-    other white space are left to the tokenizer as they are.
+    The tokenizer merges listed pairs, by rank; tiktoken merges neighbours that together are in the vocabulary, by id. If every token is
+    itself what its own characters merge to, the two agree on every word: neighbours that make up a token have been merged as
+    the token alone would be, and that would go on to merge them.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as lines:
+        model = json.load(lines)["model"]
+    vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+    letters = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    rest = [b for b in range(256) if b not in letters]
+    byte_of = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(rest)}
+    ranks: dict[bytes, int] = {}
+    bare = Tokenizer.from_file(path).model
+    for at, pair in enumerate(model["merges"]):
+        first, second = pair if isinstance(pair, list) else pair.split(" ")
+        if vocabulary[first + second] != 512 + at:
+            return None
+    for token, rank in vocabulary.items():
+        whole = token.removesuffix(end)
+        if rank >= 512 + len(model["merges"]):
+            continue  # special tokens
+        if not token.endswith(end) or not whole:
+            if rank >= 512 and not all(c in byte_of for c in token):
+                return None
+        raw = bytes(byte_of[c] for c in whole)
+        if END in raw:
+            continue  # no text holds it
+        ranks[raw + END if token.endswith(end) else raw] = rank
+        if rank >= 512 and token.endswith(end) and [t.id for t in bare.tokenize(whole)] != [rank]:
+            return None
+    ranks[END] = 1 << 20
+    return ranks
+
+
+class Ids:
+    """Ids, as little-endian bytes, of texts.
+
+    Texts of ASCII, Latin letters and common punctuation are lower-cased and split here by the tokenizer's own pattern, whose classes are then known,
+    and merged by tiktoken; composed Latin letters without combining marks are what NFC leaves as it is. The tokenizer
+    itself takes all others.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        mark = END.decode()
+        self.fast = tiktoken.Encoding("own", pat_str=f"[^{mark}]+{mark}", mergeable_ranks=ranks, special_tokens={})._core_bpe if ranks else None
 
-    @staticmethod
-    def cut(word: bytes) -> tuple[bytes, bytes]:
-        """The word without its punctuation at the end, and that; the latter is empty where they can't be told apart."""
-        core = word.rstrip(PUNCTUATION)
-        if core == word or not core:
-            return word, b""
-        last = core[-4:].decode("utf-8", "replace")[-1]
-        return (core, word[len(core) :]) if last.isalnum() and ord(last) < 0x250 else (word, b"")
-
-    @staticmethod
-    def split(text: bytes) -> list[bytes]:
-        """The units of a text: words, or runs of letters and digits and of punctuation where neither an apostrophe nor
-        anything but ASCII and the letters of Latin-1 could make the pattern look across them."""
-        low = text.lower()
-        rest = low.translate(None, PLAIN)
-        if not rest or (2 * rest.count(b"\xc3") == len(rest) and b"\xc3\x97" not in low and b"\xc3\xb7" not in low):
-            return UNITS.findall(low)
-        return low.split()
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > KEEP_WORDS:
-            self.clear()
-        cut = {word: self.cut(word) for word in words}
-        new = list({part for both in cut.values() for part in both}.difference(self))
-        for at in range(0, len(new), 500):
-            some = new[at : at + 500]
-            texts = [w.decode("utf-8", "replace") for w in some]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            highs = (4 * np.searchsorted(np.array([start for start, _ in found.offsets]), ends)).tolist()
-            self.update(zip(some, map(ids.__getitem__, map(slice, [0, *highs[:-1]], highs)), strict=True))
-        for word, (core, end) in cut.items():
-            if end:
-                self[word] = self[core] + self[end]
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        split = [self.split(text) for text in texts]
-        found = [list(map(self.get, words)) for words in split]
-        new: set[bytes] = set()
-        for words, ids in zip(split, found, strict=True):
-            new.update(compress(words, map(not_, ids)))
-        self.learn(new)
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                for i, one in enumerate(ids):
-                    if one is None:
-                        ids[i] = self[words[i]]
-        return list(map(b"".join, found))
+    def of(self, text: bytes) -> bytes:
+        found = text.decode("utf-8", "replace")
+        if self.fast is None or OTHER.search(found):
+            return np.array(self.tokenizer.encode(found, add_special_tokens=False).ids, "<u4").tobytes()
+        words = UNITS.findall(found.lower())
+        return np.frombuffer(self.fast.encode_to_tiktoken_buffer(MARK.join(words) + MARK, set()), np.uint32).astype("<u4").tobytes() if words else b""
 
 
 def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -107,20 +104,19 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     The ids of a document end with id 0; a null or empty text has that id alone. A document of more than `limit` ids is
     cut into pieces of `limit`, of which the last may be shorter.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(merge_table(path))
     out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("deal", pa.int32())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, draw = WordIds(path), random.Random()
+        known, draw = Ids(path, shared.value), random.Random()
 
         def rows():
             for batch in stream:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    for i, ids in zip(part.column(0).to_pylist(), known.of(part.column(1).to_pylist()), strict=True):
-                        ids += b"\0\0\0\0"
-                        for k, start in enumerate(range(0, len(ids), 4 * limit)):
-                            own = ids[start : start + 4 * limit]
-                            yield i, k, start // 4, len(own) // 4, own, draw.getrandbits(31)
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = known.of(text.as_py()) + b"\0\0\0\0"
+                    for k, start in enumerate(range(0, len(ids), 4 * limit)):
+                        own = ids[start : start + 4 * limit]
+                        yield i, k, start // 4, len(own) // 4, own, draw.getrandbits(31)
 
         yield from batches(rows(), out, 1024)
 
