@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding with a global table of distinct words.
 
-1. Documents are dealt into blocks of some 32 MB of text, each text compressed on its own; this is the only shuffle of texts.
-2. Each block's pre-tokens are numbered in the order of their first position in it. The distinct ones go into a
-   global shuffle by word, where each distinct word is encoded once, and its ids return to the blocks that hold it.
-3. A block's ids are joined to its pre-tokens by number and put together by position.
-
-So a word that is in every document is one row per block, not one per position. Decoding joins the ids with the table
-of the vocabulary's bytes, which has as many rows as the vocabulary.
+1. Documents are dealt into blocks of some 16 MB of text, each text compressed on its own; this is the only shuffle of texts.
+2. A block's pre-tokens are taken in order of position. Each distinct one goes, once per block, into the global shuffle by word: the hash
+   of a word says its part, and a block sends each part one pack of the part's words, in the order of their first positions.
+3. A part encodes each distinct word once and answers each pack with the ids, in the same order.
+4. A block goes through its positions again: a word that is new there takes the next ids of its part's answer, and a known one
+   its own, so that ids and positions are joined without a row for either.
+
+So a word that is in every document is a few bytes per block, not a row per position. Packs are never more than the distinct words of
+the blocks. Decoding joins the ids with the table of the vocabulary's bytes, which has as many rows as the vocabulary.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +27,7 @@ from refrain.llm.common import as_bytes, batches, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a block, on average.
-BLOCK = 32_000_000
+BLOCK = 16_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,8 +72,8 @@ def newer_letters(ranks: dict[bytes, int], pattern: str) -> str:
     return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans)
 
 
-def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """block, doc_id and text (compressed) of documents, dealt by block."""
+def blocks(docs: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """block, doc_id and text (compressed) of documents, dealt by block, and to how many partitions."""
     import zstandard
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -84,10 +87,11 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], schema=schema)
 
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("bigint"), as_bytes("text"))
-    return dealt.mapInArrow(run, "block int, doc_id bigint, text binary").repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
+    to = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, "block int, doc_id bigint, text binary").repartition(to, "block"), to
 
 
-def _texts(rows: list[tuple[int | None, bytes]]) -> list[tuple[int | None, bytes]]:
+def _texts(rows: Iterable[tuple[int | None, bytes]]) -> list[tuple[int | None, bytes]]:
     """The ids and texts of a block, in the order in which its words are numbered."""
     import zstandard
 
@@ -96,55 +100,74 @@ def _texts(rows: list[tuple[int | None, bytes]]) -> list[tuple[int | None, bytes
     return sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
-def distinct_words(dealt: DataFrame, pattern: str, newer: str) -> DataFrame:
-    """word, block and number: the distinct pre-tokens of each block, numbered by first position."""
-    schema = pa.schema([("word", pa.binary()), ("block", pa.int32()), ("number", pa.int32())])
+def part_of(word: bytes, parts: int) -> int:
+    return zlib.crc32(word) % parts
+
+
+def distinct_words(dealt: DataFrame, parts: int, pattern: str, newer: str) -> DataFrame:
+    """block, part and pack: the distinct pre-tokens of each block that belong to a part, by first position."""
+    schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("pack", pa.binary())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(pattern, newer)
+        import zstandard
+
+        splitter, pack = Splitter(pattern, newer), zstandard.ZstdCompressor(level=3).compress
 
-        def numbered(block: int, rows: list) -> Iterator[tuple[bytes, int, int]]:
+        def packs(block: int, rows: list) -> Iterator[tuple[int, int, bytes]]:
             words: dict[str, None] = {}
             for _, text in _texts(rows):
                 words.update(dict.fromkeys(splitter.split(text)))
-            for number, word in enumerate(words):
-                yield word.encode(), block, number
+            lists: dict[int, list[bytes]] = {}
+            for word in map(str.encode, words):
+                lists.setdefault(part_of(word, parts), []).append(word)
+            for part, found in lists.items():
+                yield block, part, pack(b"\xff".join(found))  # no UTF-8 holds this byte
 
         def rows():
             now, held = None, []
             for batch in stream:
                 for block, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if block != now:
-                        yield from numbered(now, held)
+                        yield from packs(now, held)
                         now, held = block, []
                     held.append((i, text))
-            yield from numbered(now, held)
+            yield from packs(now, held)
 
-        yield from batches(rows(), schema, 20_000)
+        yield from batches(rows(), schema, 256)
 
-    return dealt.sortWithinPartitions("block").mapInArrow(run, "word binary, block int, number int")
+    return dealt.sortWithinPartitions("block").mapInArrow(run, "block int, part int, pack binary")
 
 
-def encoded_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """block, number and ids of words, each distinct word encoded once."""
-    schema = pa.schema([("block", pa.int32()), ("number", pa.int32()), ("ids", pa.binary())])
+def encoded_words(words: DataFrame, parts: int, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """block, part and answer: the number of ids of each word of a pack, then the ids. A part, all in one task, encodes a word once."""
+    schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("answer", pa.binary())])
     table = words.sparkSession.sparkContext.broadcast(ranks)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import tiktoken
+        import zstandard
 
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})._core_bpe.encode_single_piece
-        last, ids = None, b""
-        for batch in stream:
-            found = []
-            for word in batch.column(0).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encode(word), "<u4").tobytes()
-                found.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], schema=schema)
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+
+        class Known(dict):
+            def __missing__(self, word: bytes) -> bytes:
+                self[word] = found = np.array(encode(word), "<u4").tobytes()
+                return found
+
+        known = Known()
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block int, number int, ids binary")
+        def rows():
+            for batch in stream:
+                for block, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    ids = list(map(known.__getitem__, unpack(data).split(b"\xff")))
+                    sizes = np.fromiter(map(len, ids), "<u4", len(ids))
+                    yield block, part, pack(np.uint32(len(ids)).astype("<u4").tobytes() + sizes.tobytes() + b"".join(ids))
+
+        yield from batches(rows(), schema, 256)
+
+    return words.repartitionById(parts, F.col("part")).mapInArrow(run, "block int, part int, answer binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, size: int = BLOCK) -> DataFrame:
@@ -155,26 +178,36 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = BLOCK) -> DataF
     """
     ranks = load_ranks(path)
     newer = newer_letters(ranks, pattern)
-    dealt = blocks(docs.select("doc_id", "text"), size)
-    words = encoded_words(distinct_words(dealt, pattern, newer), ranks, pattern)
+    dealt, parts = blocks(docs.select("doc_id", "text"), size)
+    answers = encoded_words(distinct_words(dealt, parts, pattern, newer), parts, ranks, pattern)
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def assemble(texts: pa.Table, table: pa.Table) -> pa.Table:
-        splitter = Splitter(pattern, newer)
-        ids_of: list[bytes] = [b""] * table.num_rows
-        for number, ids in zip(table.column("number").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            ids_of[number] = ids
+        import numpy as np
+        import zstandard
+
+        splitter, unpack = Splitter(pattern, newer), zstandard.ZstdDecompressor().decompress
+
+        def each(answer: bytes) -> Iterator[bytes]:
+            data = unpack(answer)
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            at = 4 + 4 * n
+            for length in np.frombuffer(data, "<u4", n, 4).tolist():
+                yield data[at : at + length]
+                at += length
+
+        next_of = {part: each(answer) for part, answer in zip(table.column("part").to_pylist(), table.column("answer").to_pylist(), strict=True)}
 
-        class Numbered(dict):
+        class Known(dict):
             def __missing__(self, word: str) -> bytes:
-                self[word] = found = ids_of[len(self)]
+                self[word] = found = next(next_of[part_of(word.encode(), parts)])
                 return found
 
-        known = Numbered()
-        rows = [(i, b"".join(map(known.__getitem__, splitter.split(text)))) for i, text in _texts(list(zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True)))]
+        known = Known()
+        rows = [(i, b"".join(map(known.__getitem__, splitter.split(text)))) for i, text in _texts(zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True))]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return dealt.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, "doc_id bigint, ids binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id bigint, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
