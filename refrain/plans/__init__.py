@@ -1 +1 @@
-"""Plans of the engine."""
+"""Whole plans: from signals to fingerprints, from fingerprints to answers."""
