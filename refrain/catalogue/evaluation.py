@@ -22,9 +22,9 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def _unknown(spark: SparkSession, sf: str, score) -> DataFrame:
+def _unknown(spark: SparkSession, sf: str, score: str) -> DataFrame:
     met = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
-    return met.where("toxic = 0").select(score.alias("score"))
+    return met.where("toxic = 0").select(F.expr(score).alias("score"))
 
 
 def gate_sql(score: str, target: float) -> str:
@@ -32,16 +32,16 @@ def gate_sql(score: str, target: float) -> str:
 g AS (SELECT score AS gate, t FROM o WHERE n = floor({target}::DOUBLE * t) + 1) SELECT round(gate, 6) AS gate, t::BIGINT AS unknowns, (SELECT count(*) FROM s WHERE score > gate)::BIGINT AS false_accepts FROM g"""
 
 
-def _gate(score, target: float):
+def _gate(score: str, target: float):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return calibrate.threshold(_unknown(spark, sf, score), target).select(r6(F.col("gate"), "gate"), "unknowns", "false_accepts")
 
     return run
 
 
-query(gate_sql("n_chars::DOUBLE / 100000", 0.01), "threshold_1pct")(_gate(F.col("n_chars") / 100000, 0.01))
-query(gate_sql("n_chars::DOUBLE / 100000", 0.001), "threshold_01pct")(_gate(F.col("n_chars") / 100000, 0.001))
-query(gate_sql("floor(n_chars / 1000.0)::DOUBLE / 100", 0.05), "threshold_ties")(_gate(F.floor(F.col("n_chars") / 1000) / 100, 0.05))
+query(gate_sql("n_chars::DOUBLE / 100000", 0.01), "threshold_1pct")(_gate("n_chars / 100000", 0.01))
+query(gate_sql("n_chars::DOUBLE / 100000", 0.001), "threshold_01pct")(_gate("n_chars / 100000", 0.001))
+query(gate_sql("floor(n_chars / 1000.0)::DOUBLE / 100", 0.05), "threshold_ties")(_gate("floor(n_chars / 1000) / 100", 0.05))
 
 P = """p AS (SELECT doc_id AS query_id, source AS population, lang, quality = 1 AS known, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 10 END AS found_id, doc_id % 5 AS target_id, (n_chars % 1000) / 1000.0::DOUBLE AS score,
   (doc_id % 17)::DOUBLE AS offset_s, (doc_id % 13)::DOUBLE AS expected_s, CASE WHEN doc_id % 3 = 0 THEN 'pitch_altered' WHEN doc_id % 3 = 1 THEN 'tempo_only' ELSE 'neither' END AS stratum, doc_id % 4 = 0 AS overlap FROM documents JOIN labels USING (doc_id)),

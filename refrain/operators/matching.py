@@ -74,7 +74,7 @@ def stretch_factors(neighbours: DataFrame) -> DataFrame:
     first = neighbours.groupBy("query_id", "content_id", "qpos").agg(F.min_by("rpos", F.struct("rank", "rpos")).alias("rpos"))
     other = first.select("query_id", "content_id", F.col("qpos").alias("q2"), F.col("rpos").alias("r2"))
     pairs = first.join(other, ["query_id", "content_id"]).where("qpos <> q2 and rpos <> r2")
-    means = pairs.groupBy("query_id", "content_id").agg(F.avg((F.col("qpos") - F.col("q2")) / (F.col("rpos") - F.col("r2"))).alias("mean"))
+    means = pairs.groupBy("query_id", "content_id").agg(F.avg(F.try_divide(F.col("qpos") - F.col("q2"), F.col("rpos") - F.col("r2"))).alias("mean"))
     all_pairs = first.select("query_id", "content_id").distinct().join(means, ["query_id", "content_id"], "left")
     return all_pairs.select("query_id", "content_id", F.when(F.col("mean").between(0.5, 2.0), F.col("mean")).otherwise(1.0).alias("factor"))
 
@@ -105,7 +105,7 @@ def affine_all_pairs(neighbours: DataFrame, tolerance: float = 0.12, low: float
     rows = neighbours.select("query_id", "content_id", "qt", "rt")
     other = rows.select("query_id", "content_id", F.col("qt").alias("q2"), F.col("rt").alias("r2"))
     lines = rows.join(other, ["query_id", "content_id"]).where(F.col("q2") - F.col("qt") >= min_span)
-    slope = (F.col("r2") - F.col("rt")) / (F.col("q2") - F.col("qt"))
+    slope = F.try_divide(F.col("r2") - F.col("rt"), F.col("q2") - F.col("qt"))
     lines = lines.select("query_id", "content_id", slope.alias("a"), (F.col("rt") - slope * F.col("qt")).alias("b")).where(F.col("a").between(low, high)).distinct()
     near = rows.join(lines, ["query_id", "content_id"]).withColumn("miss", F.abs(F.col("rt") - F.col("a") * F.col("qt") - F.col("b"))).where(F.col("miss") <= tolerance)
     votes = near.groupBy("query_id", "content_id", "a", "b").agg(F.countDistinct("qt").alias("votes"), F.regr_slope("rt", "qt").alias("slope"), F.regr_intercept("rt", "qt").alias("intercept"))
