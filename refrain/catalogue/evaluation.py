@@ -182,7 +182,7 @@ def median_then_p95(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT unnest([1, 2, 4, 6, 8]) AS factor), d AS (SELECT unnest([1.0, 2.0, 3.0, 5.0, 10.0]::DOUBLE[]) AS duration), r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings)
-SELECT factor::BIGINT AS factor, duration, count(*)::BIGINT AS reference_rows, count_if(frame * 186.0::DOUBLE / 8000 <= duration)::BIGINT AS query_rows, round(8000.0::DOUBLE / 186 * 3600 / factor * 32 * 4 / 1e6, 6) AS mb_per_hour FROM r, f, d WHERE frame % factor = 0 GROUP BY 1, 2""")
+SELECT f.factor::BIGINT AS factor, d.duration, count(*)::BIGINT AS reference_rows, count_if(frame * 186.0::DOUBLE / 8000 <= d.duration)::BIGINT AS query_rows, round(8000.0::DOUBLE / 186 * 3600 / f.factor * 32 * 4 / 1e6, 6) AS mb_per_hour FROM r, f, d WHERE frame % f.factor = 0 GROUP BY f.factor, d.duration""")
 def density_duration_matrix(spark: SparkSession, sf: str) -> DataFrame:
     from refrain.catalogue.base import frames
     from refrain.functions.clock import Config

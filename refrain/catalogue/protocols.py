@@ -106,11 +106,11 @@ def nearest_time_asof(spark: SparkSession, sf: str) -> DataFrame:
     return relating.nearest_time(left, events.where("event_type = 'purchase'").select("user_id", "t"), "user_id")
 
 
-@query("""WITH d AS (SELECT doc_id AS id, lower(trim(source)) AS creator, lower(trim(substr(text, 1, 40))) AS title FROM documents), a AS (SELECT creator, title, list_sort(list(id)) AS a_ids FROM d WHERE id % 2 = 0 GROUP BY 1, 2),
+@query("""WITH d AS (SELECT doc_id AS id, lower(trim(lang)) AS creator, lower(trim(substr(text, 1, 8))) AS title FROM documents), a AS (SELECT creator, title, list_sort(list(id)) AS a_ids FROM d WHERE id % 2 = 0 GROUP BY 1, 2),
 b AS (SELECT creator, title, list_sort(list(id)) AS b_ids FROM d WHERE id % 2 = 1 GROUP BY 1, 2) SELECT creator, title, len(a_ids)::BIGINT AS n_a, b_ids[1] AS first_b FROM a JOIN b USING (creator, title)""")
 def title_creator_join(spark: SparkSession, sf: str) -> DataFrame:
     own = read(spark, sf, "documents").withColumnRenamed("doc_id", "id")
-    found = relating.title_matches(own.where("id % 2 = 0"), own.where("id % 2 = 1"), F.lower(F.trim("source")), F.lower(F.trim(F.substring("text", 1, 40))))
+    found = relating.title_matches(own.where("id % 2 = 0"), own.where("id % 2 = 1"), F.lower(F.trim("lang")), F.lower(F.trim(F.substring("text", 1, 8))))
     return found.select("creator", "title", F.size("a_ids").cast("bigint").alias("n_a"), F.get("b_ids", F.lit(0)).alias("first_b"))
 
 
