@@ -17,13 +17,14 @@ import base64
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from refrain.llm.common import as_bytes, batches, read
+from refrain.llm.common import as_bytes, batches, read, with_computed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a block, on average.
@@ -216,18 +217,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     table: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for word, rank in ranks.items():
         table[rank] = word
-    keep = [c for c in encoded.columns if c != "decoded"]
-    at, words = keep.index("ids"), encoded.sparkSession.sparkContext.broadcast(table)
+    words = encoded.sparkSession.sparkContext.broadcast(table)
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoder() -> Callable[[pa.Array], pa.Array]:
         import numpy as np
 
         word_of = words.value.__getitem__
-        for batch in stream:
-            found = pa.array((b"".join(map(word_of, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(at)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), found], names=[*keep, "decoded"])
+        return lambda ids: pa.array((b"".join(map(word_of, np.frombuffer(x.as_py(), "<u4").tolist())) for x in ids), pa.binary())
 
-    return encoded.select(*keep).mapInArrow(run, encoded.select(*keep).schema.add("decoded", "binary"))
+    return with_computed(encoded, "ids", "decoded", T.BinaryType(), decoder)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that a Python worker turns into one record batch.
 OUT_ROWS = 4096
@@ -43,9 +44,40 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(names: Iterable[str]) -> list:
+    """Columns by name, also where the name holds dots or backticks."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def as_bytes(column: str, name: str | None = None):
     """The UTF-8 bytes of a string column, null as empty."""
-    return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias(name or column)
+    return F.coalesce(quoted([column])[0].cast("binary"), F.lit(b"")).alias(name or column)
+
+
+def with_computed(docs: DataFrame, source: str, name: str, kind: T.DataType, make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """docs, with a column computed from the bytes of another (null as empty), a record batch at a time; one of the same name is replaced.
+
+    make is called once per task, and returns the function of a batch.
+    """
+    keep = [c for c in docs.columns if c.lower() != name.lower()]
+    inner = [f"c{i}" for i in range(len(keep))]  # Spark's Arrow functions take no names with dots
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], compute(batch.column(len(keep)))], names=[*inner, "found"])
+
+    own = docs.select(*(c.alias(i) for c, i in zip(quoted(keep), inner, strict=True)))
+    given = docs.select(*(c.alias(i) for c, i in zip(quoted(keep), inner, strict=True)), as_bytes(source, "raw"))
+    return given.mapInArrow(run, own.schema.add("found", kind)).toDF(*keep, name)
 
 
 def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:

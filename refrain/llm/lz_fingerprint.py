@@ -11,14 +11,15 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from refrain.llm.common import as_bytes, batches, read
+from refrain.llm.common import batches, read, with_computed
 from refrain.llm.shingles import ODD, mix64
 
 SLOTS = 64
@@ -93,15 +94,10 @@ def fingerprint(text: bytes) -> np.ndarray:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs, with the fingerprint of the text. Null and empty texts have one of empty slots; equal texts have equal ones."""
-    keep = [c for c in docs.columns if c != "fingerprint"]
-    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
+    def printer() -> Callable[[pa.Array], pa.Array]:
+        return lambda texts: pa.array((text_of(fingerprint(t.as_py())) for t in texts), pa.string())
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            found = pa.array((text_of(fingerprint(t.as_py())) for t in batch.column(len(keep))), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), found], names=[*keep, "fingerprint"])
-
-    return docs.select(*quoted, as_bytes("text", "__text")).mapInArrow(run, docs.select(*quoted).schema.add("fingerprint", "string"))
+    return with_computed(docs, "text", "fingerprint", T.StringType(), printer)
 
 
 def _bucket(cuts: list[int]) -> Column:

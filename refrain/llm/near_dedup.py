@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.common import as_bytes, batches, read, stored
+from refrain.llm.common import as_bytes, batches, quoted, read, stored
 from refrain.llm.components import components
 from refrain.llm.shingles import ODD, WordHashes, mix64, shingle_set, signature
 
@@ -181,6 +181,6 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the least doc_id; one row where rows share that."""
     gone = stored(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
     again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1)
     return left if again.isEmpty() else left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))

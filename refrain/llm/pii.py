@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.common import read, stored
+from refrain.llm.common import fresh, quoted, read, stored
 
 LOCAL = "A-Za-z0-9._%+-"
 #: Patterns of the base kinds, in the order in which they are listed. Each finds just the matches of the plain pattern in its
@@ -138,16 +138,18 @@ def with_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     Null texts are as empty ones: no spans. Equal rows get equal spans; rows that share a doc_id but not the text are told
     apart by a hash of the text. Columns other than doc_id and text stay as they are; `base` and `spans` are replaced.
     """
-    own = docs.drop("base", "spans")
-    near = stored(_surroundings(own, p), "near")
-    told = stored(disclosing(own, near, p), "told")
+    keep = [c for c in docs.columns if c.lower() not in ("base", "spans")]
+    own, texts = docs.select(*quoted(keep)), docs.select("doc_id", "text")
+    near = stored(_surroundings(texts, p), "near")
+    told = stored(disclosing(texts, near, p), "told")
+    doc, key, found_terms, plain = (fresh(docs, n) for n in ("term_doc", "term_key", "terms", "base"))
     term = F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end", F.col("term").alias("value"))
     terms = near.join(told, ["entity", "term"]).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(term)).alias("terms"))
-    terms = stored(terms.select(F.col("doc_id").alias("term_doc"), F.col("key").alias("term_key"), "terms"), "terms")
+    terms = stored(terms.select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("terms").alias(found_terms)), "terms")
     text = F.coalesce("text", F.lit(""))
-    found = own.withColumn("base", base_spans(text)).join(terms, F.col("doc_id").eqNullSafe(F.col("term_doc")) & (F.xxhash64(text) == F.col("term_key")), "left")
-    every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms")))
-    return found.select(*own.columns, "base", every.alias("spans"))
+    found = own.withColumn(plain, base_spans(text)).join(terms, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
+    every = F.when(F.col(found_terms).isNull(), F.col(plain)).otherwise(F.array_sort(F.concat(plain, found_terms)))
+    return found.select(*quoted(keep), F.col(plain).alias("base"), every.alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -173,7 +175,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its text sanitised and n_chars counted anew."""
-    found = with_spans(docs).withColumn("text", sanitised(F.col("text"), F.col("spans")))
+    clash = {c: fresh(docs, f"other_{c.lower()}") for c in docs.columns if c.lower() in ("base", "spans")}
+    found = with_spans(docs.withColumnsRenamed(clash)).withColumn("text", sanitised(F.col("text"), F.col("spans"))).drop("base", "spans")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found.withColumnsRenamed({new: old for old, new in clash.items()}).select(*quoted(docs.columns))

@@ -11,16 +11,16 @@ cost does not grow with the corpus. Scoring reads every whole text once and shuf
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from refrain.llm.common import as_bytes, batches, read
+from refrain.llm.common import as_bytes, batches, fresh, quoted, read, with_computed
 from refrain.llm.shingles import ODD, WordHashes, mix64
 
 
@@ -164,17 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, p: ClassifierParams = ClassifierPa
 
 def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs, with the score of the text; null and empty texts have that of a document without n-grams."""
-    keep = [c for c in docs.columns if c != name]
-    at, shared = len(keep), docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer() -> Callable[[pa.Array], pa.Array]:
         known, judge = WordHashes(), shared.value
-        for batch in stream:
-            found = pa.array((judge.score(features(t.as_py(), known, judge.bits)) for t in batch.column(at)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), found], names=[*keep, name])
+        return lambda texts: pa.array((judge.score(features(t.as_py(), known, judge.bits)) for t in texts), pa.float64())
 
-    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
-    return docs.select(*quoted, as_bytes("text", "__text")).mapInArrow(run, docs.select(*quoted).schema.add(name, "double"))
+    return with_computed(docs, "text", name, T.DoubleType(), scorer)
 
 
 def _model(spark: SparkSession, docs: DataFrame, sf_dir: str, p: ClassifierParams) -> Model:
@@ -191,5 +187,5 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold; the others go."""
     p = ClassifierParams()
-    name = "score" if "score" not in docs.columns else "score_" + re.sub(r"\W", "", "_".join(docs.columns))
-    return scores(docs, _model(spark, docs, sf_dir, p), name).where(F.col(name) >= p.threshold).select(*docs.columns)
+    name = fresh(docs, "score")
+    return scores(docs, _model(spark, docs, sf_dir, p), name).where(F.col(name) >= p.threshold).select(*quoted(docs.columns))

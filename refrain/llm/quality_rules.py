@@ -9,16 +9,15 @@ a position is the larger of the values on its two sides. The union of these span
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refrain.llm.common import as_bytes, read
+from refrain.llm.common import fresh, quoted, read, with_computed
 
 #: Words whose suffixes are sorted in one go, at least.
 BLOCK_WORDS = 150_000
@@ -39,7 +38,7 @@ class Limits:
     min_repeat: int = 8
     max_covered_percent: int = 40
     max_longest: int = 60
-    max_longest_percent: int = 30
+    max_longest_percent: int = 10
 
 
 def longest_repeats(words: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -159,33 +158,31 @@ def measure(texts: Iterator[bytes], min_repeat: int) -> Iterator[tuple[int, ...]
         yield from done()
 
 
-def with_counts(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """docs, with COUNTS, base_failed and kept of the text column as structure `quality`.
+def with_counts(docs: DataFrame, text: str = "text", limits: Limits = Limits(), name: str = "quality") -> DataFrame:
+    """docs, with COUNTS, base_failed and kept of the text column as structure `quality` (or another name).
 
     Null and empty texts have no words and fail. Repeated rows and ids are judged row by row; other columns stay as
-    they are, whatever their names (a column `quality` is replaced). A table without rows gives none.
+    they are, whatever their names (a column of the structure's name is replaced). A table without rows gives none.
     """
     fields = [*((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()), ("kept", pa.bool_())]
-    keep = [c for c in docs.columns if c != "quality"]
-    at, lim = len(keep), limits
+    lim = limits
 
-    def judged(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+    def judged() -> Callable[[pa.Array], pa.Array]:
+        def compute(texts: pa.Array) -> pa.Array:
             columns: list[list] = [[] for _ in fields]
-            for row in measure((t.as_py() for t in batch.column(at)), lim.min_repeat):
+            for row in measure((t.as_py() for t in texts), lim.min_repeat):
                 n, repeat, covered, longest = row[0], row[4], row[5], row[6]
                 failed = n < lim.min_words or 100 * repeat > lim.max_repeat_percent * n
                 long = longest > lim.max_longest and 100 * longest > lim.max_longest_percent * n
                 for column, value in zip(columns, (*row, failed, not (failed or long or 100 * covered > lim.max_covered_percent * n)), strict=True):
                     column.append(value)
             arrays = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]
-            struct = pa.StructArray.from_arrays(arrays, fields=[pa.field(n, t) for n, t in fields])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), struct], names=[*keep, "quality"])
+            return pa.StructArray.from_arrays(arrays, fields=[pa.field(n, t) for n, t in fields])
+
+        return compute
 
     kinds = {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType()}
-    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
-    schema = docs.select(*quoted).schema.add("quality", T.StructType([T.StructField(n, kinds[t]) for n, t in fields]))
-    return docs.select(*quoted, as_bytes(text, "__text")).mapInArrow(judged, schema)
+    return with_computed(docs, text, name, T.StructType([T.StructField(n, kinds[t]) for n, t in fields]), judged)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,4 +191,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass; the others go."""
-    return with_counts(docs).where("quality.kept").select(*docs.columns)
+    name = fresh(docs, "quality")
+    return with_counts(docs, name=name).where(f"{name}.kept").select(*quoted(docs.columns))

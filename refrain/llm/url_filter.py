@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.common import read, stored
+from refrain.llm.common import fresh, quoted, read, stored
 
 #: Rules (host, path, verdict) of the query; fixed values.
 RULES = [
@@ -96,8 +96,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     known = known.select("host", "path", F.concat("host", F.lit("\x00"), "path").alias("key"), F.concat("host", "path").alias("listed"), F.col("verdict").alias("said"))
     known = known.select("key", "host", "path", F.length("host").alias("rule_host"), F.length("path").alias("rule_path"), "listed", "said")
     n = known.count()
-    own = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    columns = own.columns
+    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    own = pages.select(*quoted(keep)).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    columns, won_as = quoted(own.columns), fresh(own, "won")
     if not n:
         return own.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     # as many lengths at most as paths have characters
@@ -110,9 +111,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     listed = known.drop("host", "path")
     exact = maybe.join(F.broadcast(listed) if n <= MOST_BROADCAST else listed, "key")
     choice = F.struct("rule_host", "rule_path", "listed", "said")
-    won = stored(exact.groupBy("host", "path").agg(F.max(choice).alias("won")), "won")
+    won = stored(exact.groupBy("host", "path").agg(F.max(choice).alias(won_as)), "won")
     found = own.join(won, ["host", "path"], "left")
-    return found.select(*columns, F.col("won.listed").alias("rule"), F.coalesce("won.said", F.lit(default)).alias("verdict"))
+    return found.select(*columns, F.col(f"{won_as}.listed").alias("rule"), F.coalesce(f"{won_as}.said", F.lit(default)).alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
