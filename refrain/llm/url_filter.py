@@ -112,7 +112,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     exact = maybe.join(F.broadcast(listed) if n <= MOST_BROADCAST else listed, "key")
     choice = F.struct("rule_host", "rule_path", "listed", "said")
     won = stored(exact.groupBy("host", "path").agg(F.max(choice).alias(won_as)), "won")
-    found = own.join(won, ["host", "path"], "left")
+    found = own.join(won.hint("merge"), ["host", "path"], "left")
     return found.select(*columns, F.col(f"{won_as}.listed").alias("rule"), F.coalesce(f"{won_as}.said", F.lit(default)).alias("verdict"))
 
 
