@@ -24,7 +24,7 @@ def threshold(scores: DataFrame, target: float, by: list[str] | None = None) ->
     placed = counted.withColumns({"reached": F.sum("c").over(w.orderBy(F.desc("score"))), "n": F.sum("c").over(w)})
     placed = placed.withColumn("allowed", F.floor(F.lit(target) * F.col("n")))
     first = placed.where(F.col("reached") > F.col("allowed")).groupBy(*by).agg(F.max_by(F.struct("score", "n", (F.col("reached") - F.col("c")).alias("above")), "score").alias("g"))
-    return first.select(*by, F.col("g.score").alias("gate"), F.col("g.n").alias("unknowns"), F.col("g.above").alias("false_accepts"))
+    return first.where("g is not null").select(*by, F.col("g.score").alias("gate"), F.col("g.n").alias("unknowns"), F.col("g.above").alias("false_accepts"))
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

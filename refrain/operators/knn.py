@@ -47,7 +47,7 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, inner_product: bo
 def _block(queries: DataFrame, references: DataFrame, k: int, inner: bool, most: float | None, exclude: str | None) -> DataFrame:
     held = queries.select("qid", vectors.doubles(F.col("v")).alias("v")).orderBy("qid").toArrow()
     ids = np.array(held.column("qid").to_pylist(), np.int64)
-    matrix = np.array(held.column("v").to_pylist(), float).reshape(len(ids), -1)
+    matrix = np.array(held.column("v").to_pylist(), float) if len(ids) else np.zeros((0, 1))
     shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
     schema = pa.schema([("qid", pa.int64()), ("rid", pa.int64()), ("distance", pa.float64())])
 

@@ -33,7 +33,7 @@ def moments(rows: DataFrame, column: str = "v") -> DataFrame:
 
 
 def covariances(found: DataFrame) -> DataFrame:
-    return found.withColumn("cov", (F.col("sum_ij") - F.col("sum_i") * F.col("sum_j") / F.col("n")) / (F.col("n") - 1))
+    return found.withColumn("cov", F.try_divide(F.col("sum_ij") - F.col("sum_i") * F.col("sum_j") / F.col("n"), F.col("n") - 1))
 
 
 @dataclass(frozen=True)
