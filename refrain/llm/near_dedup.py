@@ -5,9 +5,12 @@
 2. Documents with equal sets are one class, represented by its least id. Hot copies end here, by a partial aggregation.
 3. In each band's bucket, the representatives are joined with the least of them. The components of these stars are the
    candidate clusters: two representatives that share any bucket are in one cluster.
-4. Within a cluster all pairs are compared on whole sets. A large cluster is dealt in blocks, and each two blocks
-   meet in a task of their own, so that no task holds more than two blocks; per task only a spanning forest of the
-   links is returned, never the pairs.
+4. Within a cluster all pairs are compared on whole sets. Small clusters are a task's work. Of a large one, every member
+   is first compared with one pivot, the leader of most stars: those linked with it need no comparison among themselves,
+   and, as the Jaccard distance is a metric, no link joins members whose distances from the pivot differ by more than
+   the threshold. The others are dealt by that distance in rings and blocks, and only blocks that a link may join meet,
+   each two in a task of their own. So no task holds more than two blocks, a group whose members are near its pivot
+   costs as much as it has rows, and per task only a spanning forest of the links is returned, never the pairs.
 5. The components of the links are the result.
 
 With 50 bands of 6 rows, a pair of similarity 0.8 shares no bucket with a probability of (1 - 0.8 ** 6) ** 50 = 3e-7.
@@ -31,7 +34,7 @@ from refrain.llm.shingles import ODD, WordHashes, mix64, shingle_set, signature
 
 @dataclass(frozen=True)
 class NearParams:
-    """width: words of a shingle. Link: 100 * intersection >= percent * union. block: members that a task holds twice."""
+    """width: words of a shingle. Link: 100 * intersection >= percent * union. block: members of a cluster that a task holds, or twice as many."""
 
     width: int = 5
     percent: int = 80
@@ -149,6 +152,56 @@ def _links(members: DataFrame, p: NearParams) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _from_pivot(large: DataFrame, pivots: DataFrame, p: NearParams) -> DataFrame:
+    """large (cluster, blocks, id, found) with pivot, distance from it and linked; pivots: cluster, pivot."""
+    schema = pa.schema([("cluster", pa.int64()), ("id", pa.int64()), ("found", pa.binary()), ("pivot", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            pivot, own = None, None
+            for batch in stream:
+                for cluster, head, i, found in zip(*(batch.column(n).to_pylist() for n in ("cluster", "head", "id", "found")), strict=True):
+                    this = np.frombuffer(found, np.uint64)
+                    if head:  # it comes first
+                        pivot, own = i, this
+                        continue
+                    common = len(np.intersect1d(own, this, assume_unique=True))
+                    every = len(own) + len(this) - common
+                    yield cluster, i, found, pivot, 1 - common / every, 100 * common >= p.percent * every
+
+        yield from batches(rows(), schema, 256)
+
+    own = large.withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("head", F.lit(0))
+    # where rows share the pivot's doc_id, one of their texts is the pivot
+    one = large.join(pivots, (large["id"] == pivots["pivot"]) & (large["cluster"] == pivots["cluster"])).groupBy(large["cluster"], "blocks", "id").agg(F.min("found").alias("found"))
+    heads = one.select("cluster", "blocks", "id", "found", F.explode(F.expr("sequence(0, blocks - 1)")).alias("own"), F.lit(1).alias("head"))
+    every = own.select("cluster", "own", "head", "id", "found").unionByName(heads.select("cluster", "own", "head", "id", "found"))
+    dealt = every.repartition("cluster", "own").sortWithinPartitions("cluster", "own", F.desc("head"))
+    return dealt.mapInArrow(run, "cluster bigint, id bigint, found binary, pivot bigint, distance double, linked boolean")
+
+
+def _large_links(large: DataFrame, stars: DataFrame, p: NearParams) -> DataFrame:
+    """Links (a, b) among the members of large clusters (cluster, blocks, id, found)."""
+    leaders = stars.groupBy(F.col("b").alias("pivot")).agg(F.count("*").alias("n"))
+    pivots = leaders.join(large.select("cluster", F.col("id").alias("pivot")).distinct(), "pivot").groupBy("cluster").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
+    placed = stored(_from_pivot(large, stored(pivots, "pivots"), p), "placed")
+    reach = 1 - p.percent / 100
+    inner, width = 4, reach / 4
+    # rings of a quarter of the threshold: 0 to 3 are linked with the pivot, the others are not
+    ring = F.when(F.col("linked"), F.least(F.floor(F.col("distance") / width), F.lit(inner - 1))).otherwise(F.greatest(F.floor(F.col("distance") / width), F.lit(inner)))
+    ringed = placed.withColumn("ring", ring.cast("int"))
+    counts = ringed.groupBy("cluster", "ring").agg(F.ceil(F.count("*") / p.block).cast("int").alias("subs"))
+    rings = stored(counts.groupBy("cluster").agg(F.collect_list(F.struct("ring", "subs")).alias("rings")), "rings")  # a few numbers for each large cluster
+    met = ringed.select("cluster", "id", "found", "ring").join(rings, "cluster")
+    met = met.withColumn("sub", F.expr("pmod(xxhash64(id), element_at(map_from_entries(rings), ring))"))
+    # one ring more than the threshold, as rings have width
+    far = F.filter("rings", lambda r: (F.abs(r["ring"] - F.col("ring")) <= inner + 1) & ((r["ring"] >= inner) | (F.col("ring") >= inner)))
+    met = met.withColumn("to", F.explode(far)).withColumn("to_sub", F.explode(F.expr("sequence(0, to.subs - 1)")))
+    here, there = F.col("ring") * (1 << 32) + F.col("sub"), F.col("to.ring") * (1 << 32) + F.col("to_sub")
+    links = _links(met.select("cluster", F.least(here, there).alias("p"), F.greatest(here, there).alias("q"), "id", "found"), p)
+    return links.unionByName(placed.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of documents (doc_id, text, ...).
 
@@ -161,14 +214,17 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     classes = stored(found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands")).where("id is not null"), "classes")
     keys = classes.select(F.explode("bands").alias("key"), "id")
     leaders = stored(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last"), "leaders")
-    stars = keys.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    stars = stored(keys.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
     rest = components(stars)
     clusters = rest.unionByName(rest.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "cluster")
     sizes = stored(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
-    members = stored(clusters.join(sizes, "cluster").select("id", "cluster", "blocks", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("own")), "members")
-    sets = _with_sets(members.join(docs.withColumnRenamed("doc_id", "id").hint("merge"), "id").select("id", "cluster", "blocks", "own", "text"), p)
-    met = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "found")
-    linked = components(_links(met, p))
+    members = stored(clusters.join(sizes, "cluster").select("id", "cluster", "blocks"), "members")
+    texts = members.join(docs.withColumnRenamed("doc_id", "id").hint("merge"), "id").select("cluster", "blocks", "id", "text")
+    sets = stored(_with_sets(texts, p), "sets")
+    links = _links(sets.where("blocks = 1").select("cluster", F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q"), "id", "found"), p)
+    if not sizes.where("blocks > 1").isEmpty():
+        links = links.unionByName(_large_links(sets.where("blocks > 1"), stars, p))
+    linked = components(links)
     moved = stored(classes.select("set_key", "id", "n").join(linked, "id", "left").where("n > 1 or component is not null").select("set_key", F.coalesce("component", "id").alias("component")), "moved")
     same = found.select("doc_id", "n_shingles", "set_key").join(moved, "set_key", "left")
     return same.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(False)))
