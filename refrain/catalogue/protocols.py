@@ -175,16 +175,17 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_enroll(spark: SparkSession, sf: str) -> DataFrame:
     """Recordings enrolled from a stream of files, then counted; tested for one copy of each, whatever the batches."""
     import tempfile
+    import uuid
 
     from refrain.streaming.enroll import enroll_stream
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(dir=folder.removeprefix("file://") if folder and folder.startswith(("/", "file:///")) else None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"  # unset only on one machine
+    folder = f"{shared.rstrip('/')}/enroll-{uuid.uuid4().hex}"
     prints = frames(spark, sf).select(F.col("content_id").cast("string").alias("content_id"), "frame", "v")
-    prints.repartition(1).write.parquet(f"file://{folder}/in")
-    stream = spark.readStream.schema(prints.schema).parquet(f"file://{folder}/in")
-    enroll_stream(stream, f"file://{folder}/gallery", f"file://{folder}/state", 4).awaitTermination()
-    return spark.read.parquet(f"file://{folder}/gallery").groupBy("content_id").agg(F.count("*").alias("n_rows"), F.max("frame").alias("last_frame"))
+    prints.repartition(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(prints.schema).parquet(f"{folder}/in")
+    enroll_stream(stream, f"{folder}/gallery", f"{folder}/state", 4).awaitTermination()
+    return spark.read.parquet(f"{folder}/gallery").groupBy("content_id").agg(F.count("*").alias("n_rows"), F.max("frame").alias("last_frame"))
 
 
 QUERIES["stream_enroll"] = stream_enroll
