@@ -1,6 +1,6 @@
 """Connected components by alternating large and small stars (Kiveris et al., 2014), as joins and group minima.
 
-Each round is written in the shared folder. What reaches the driver is a count and a checksum of the edges.
+Each round is written in the shared folder. What reaches the driver is whether they are stars yet.
 """
 
 from __future__ import annotations
@@ -29,16 +29,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return found.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one at most, and none if a larger one has an edge to it."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes of edges (a, b), but for those that are their component's least node themselves.
 
     Loops, repeated edges and nulls do no harm; without edges there are no rows.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = stored(now, "edges"), None
-    while True:
-        state = now.agg(F.count("u"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(20)))")).first()
-        if state == before or not state[0]:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = state
-        now = stored(_small(stored(_large(now).distinct(), "edges")).distinct(), "edges")
+    now = stored(now, "edges")
+    while not _stars(now):
+        now = stored(_small(stored(_large(now), "edges")).distinct(), "edges")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
