@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors (Wang and Manning, 2012).
 
 Features are indicators of word and byte n-grams, hashed into a fixed number of columns: words and pairs of words, and runs of
-two and three bytes; one more says that any word follows itself. Each indicator is scaled by its class log-count ratio, then a linear model with hinge loss is
+two and three bytes; two more say that any word follows itself, once or twice. Each indicator is scaled by its class log-count ratio, then a linear model with hinge loss is
 fitted by dual coordinate descent (Hsieh et al., 2008). The margin becomes a score by a logistic function fitted on
 margins of rows that the model of another fold has not seen.
 
@@ -57,11 +57,13 @@ def features(text: bytes, known: WordHashes, bits: int) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8).astype(np.uint64)
     two = raw[:-1] << np.uint64(8) | raw[1:]
     parts = [words, mix64(words[:-1] * ODD + words[1:]), two + np.uint64(1 << 40), (two[:-1] << np.uint64(8) | raw[2:]) + np.uint64(1 << 41)]
-    parts.append(np.full(int((words[1:] == words[:-1]).any()), 1 << 42, np.uint64))  # a pair of equal words, whichever
     hit = np.zeros(1 << bits, bool)
     shift = np.uint64(64 - bits)
     for part in parts:
         hit[(part * ODD ^ part * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(29)) * ODD >> shift] = True
+    hit[2:4] |= hit[:2]
+    same = words[1:] == words[:-1]
+    hit[0], hit[1] = same.any(), (same[1:] & same[:-1]).any()  # columns of their own
     return np.flatnonzero(hit).astype(np.int32)
 
 
