@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refrain.llm.common import as_bytes, batches, read, with_computed
+from refrain.llm.common import as_bytes, batches, read, small_batches, with_computed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a block, on average.
@@ -89,7 +89,7 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
 
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("bigint"), as_bytes("text"))
     to = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.mapInArrow(run, "block int, doc_id bigint, text binary").repartition(to, "block"), to
+    return small_batches(dealt).mapInArrow(run, "block int, doc_id bigint, text binary").repartition(to, "block"), to
 
 
 def _texts(rows: Iterable[tuple[int | None, bytes]]) -> list[tuple[int | None, bytes]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -44,6 +45,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on the session hands Python at most 8 MB at once (or less, where that is set), so that long texts don't add up."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D", "", conf.get(key, "0")) or 0) <= 8_388_608:
+        conf.set(key, "8388608b")
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A name that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -77,7 +86,7 @@ def with_computed(docs: DataFrame, source: str, name: str, kind: T.DataType, mak
 
     own = docs.select(*(c.alias(i) for c, i in zip(quoted(keep), inner, strict=True)))
     given = docs.select(*(c.alias(i) for c, i in zip(quoted(keep), inner, strict=True)), as_bytes(source, "raw"))
-    return given.mapInArrow(run, own.schema.add("found", kind)).toDF(*keep, name)
+    return small_batches(given).mapInArrow(run, own.schema.add("found", kind)).toDF(*keep, name)
 
 
 def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refrain.llm.common import batches, read, with_computed
+from refrain.llm.common import batches, read, small_batches, with_computed
 from refrain.llm.shingles import ODD, mix64
 
 SLOTS = 64
@@ -162,7 +162,7 @@ def edited_likeness(ordered: DataFrame) -> DataFrame:
 
         yield from batches(rows(), out, 1000)
 
-    return ordered.select("doc_id", "text", "bucket", "head").mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return small_batches(ordered).select("doc_id", "text", "bucket", "head").mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.common import as_bytes, batches, quoted, read, stored
+from refrain.llm.common import as_bytes, batches, quoted, read, small_batches, stored
 from refrain.llm.components import components
 from refrain.llm.shingles import ODD, WordHashes, mix64, shingle_set, signature
 
@@ -69,7 +69,7 @@ def sketches(docs: DataFrame, p: NearParams) -> DataFrame:
 
         yield from batches(rows(), out)
 
-    return docs.select(F.col("doc_id").cast("bigint"), as_bytes("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
+    return small_batches(docs).select(F.col("doc_id").cast("bigint"), as_bytes("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
 def _with_sets(docs: DataFrame, p: NearParams) -> DataFrame:
@@ -89,11 +89,18 @@ def _with_sets(docs: DataFrame, p: NearParams) -> DataFrame:
 def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges that connect what the links among these sets connect."""
     sizes = np.array([len(s) for s in sets])
-    values, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(often > 1) - 1
-    member = np.repeat(np.arange(len(sets)), sizes)
-    shared = often[inverse] > 1
-    member, column = member[shared], number[inverse[shared]]
+    every = np.concatenate(sets)
+    every.sort()
+    twice = np.zeros(len(every), bool)  # the second of two equal values; others of the same value follow it
+    twice[1:] = every[1:] == every[:-1]
+    shared = np.unique(every[twice])
+    del every, twice
+    found = []
+    for i, values in enumerate(sets):
+        at = np.searchsorted(shared, values)
+        at = at[shared[np.minimum(at, len(shared) - 1)] == values] if len(shared) else at[:0]
+        found.append((np.full(len(at), i, np.int32), at.astype(np.int32)))
+    member, column = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(column, kind="stable")
     member, column = member[order], column[order]
     common = np.zeros((len(sets), len(sets)), np.float32)

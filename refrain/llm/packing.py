@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.common import as_bytes, batches, read, stored
+from refrain.llm.common import as_bytes, batches, read, small_batches, stored
 
 LIMIT = 2048
 #: Pieces that are packed together, on average.
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
         yield from batches(rows(), out, 1024)
 
-    return docs.select(F.col("doc_id").cast("bigint"), as_bytes("text")).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids binary, deal int")
+    return small_batches(docs).select(F.col("doc_id").cast("bigint"), as_bytes("text")).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids binary, deal int")
 
 
 def sum_of_squares(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.common import as_bytes, batches, new_path, read, stored
+from refrain.llm.common import as_bytes, batches, new_path, read, small_batches, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -108,7 +108,7 @@ def write(pages: DataFrame, folder: str, p: WarcParams = WarcParams()) -> DataFr
         yield from batches(rows(), kept)
 
     own = pages.select("page_id", "url", "payload", "sha1", "record_type", "refers_to")
-    index = own.mapInArrow(run, "page_id bigint, url string, digest string, record_type string, archive string, offset bigint, length bigint")
+    index = small_batches(own).mapInArrow(run, "page_id bigint, url string, digest string, record_type string, archive string, offset bigint, length bigint")
     index.write.parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(index.schema).parquet(f"{folder}/index")
 
