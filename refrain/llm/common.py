@@ -48,7 +48,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 def small_batches(df: DataFrame) -> DataFrame:
     """df; from now on the session hands Python at most 8 MB at once (or less, where that is set), so that long texts don't add up."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(re.sub(r"\D", "", conf.get(key, "0")) or 0) <= 8_388_608:
+    now = re.fullmatch(r"(\d+)([kmg]?)b?", conf.get(key).lower())
+    if not now or int(now[1]) * 1024 ** " kmg".index(now[2] or " ") > 8_388_608:
         conf.set(key, "8388608b")
     return df
 
