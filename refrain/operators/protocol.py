@@ -77,6 +77,6 @@ def split(queries: DataFrame, roles: DataFrame) -> DataFrame:
 
 def nested_gallery(sources: DataFrame, name: str, seed: str, sizes: list[int]) -> DataFrame:
     """(source, size) for galleries that hold each other: the mandatory sources (mandatory), then others in the order of their digest."""
-    order = Window.orderBy(F.desc("mandatory"), digest(seed, F.col(name)), name)
-    ranked = sources.withColumn("place", F.row_number().over(order))
-    return ranked.withColumn("size", F.explode(F.lit(sizes).cast("array<int>"))).where(F.col("place") <= F.col("size")).drop("place")
+    first, others = (ordinals(sources.where(c), name, seed) for c in ("mandatory", "not mandatory"))
+    ranked = first.unionByName(others.withColumn("ordinal", F.col("ordinal") + F.lit(first.count())))
+    return ranked.withColumn("size", F.explode(F.lit(sizes).cast("array<int>"))).where(F.col("ordinal") <= F.col("size")).drop("ordinal", "n")
