@@ -5,8 +5,8 @@ two and three bytes; two more say that any word follows itself, once or twice. E
 fitted by dual coordinate descent (Hsieh et al., 2008). The margin becomes a score by a logistic function fitted on
 margins of rows that the model of another fold has not seen.
 
-The model is fitted on the driver, on at most `sample` labelled rows, those with the least hash of their doc_id; so its
-cost does not grow with the corpus. Scoring reads every whole text once and shuffles nothing.
+The model is fitted in one task, on at most `sample` labelled rows, those with the least hash of their doc_id; so its
+cost does not grow with the corpus. The driver gets the weights alone. Scoring reads every whole text once and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -159,9 +159,20 @@ def train(docs: DataFrame, labels: DataFrame, p: ClassifierParams = ClassifierPa
 
     # rows that share a doc_id may be more than the sample; the bound holds for them too
     found = texts.mapInArrow(run, "of bigint, label int, found binary").orderBy(F.xxhash64("of"), "of", "label", "found").limit(p.sample)
-    held = found.toArrow()
-    rows = [np.frombuffer(x.as_py(), np.int32) for x in held.column("found")]
-    return fit(rows, np.array(held.column("label").to_pylist(), float), p)
+    model = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("shift", pa.float64())])
+
+    def fitted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[np.ndarray] = []
+        said: list[float] = []
+        for batch in stream:
+            rows += [np.frombuffer(x.as_py(), np.int32) for x in batch.column(2)]
+            said += batch.column(1).to_pylist()
+        if rows:
+            m = fit(rows, np.array(said, float), p)
+            yield from batches([(m.weights.tobytes(), m.bias, m.slope, m.shift)], model)
+
+    got = found.mapInArrow(fitted, "weights binary, bias double, slope double, shift double").collect()
+    return Model(np.frombuffer(got[0].weights, np.float32), got[0].bias, got[0].slope, got[0].shift, p.bits) if got else fit([], np.array([]), p)
 
 
 def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
