@@ -228,6 +228,28 @@ query(lsh_sql(1), "lsh_votes_1")(_lsh(1))
 query(lsh_sql(2), "lsh_votes_2")(_lsh(2))
 
 
+def _lsh_whole(votes: int):
+    """J19 in full: every document, 25 tables of 4; lsh_votes_1 and _2 take 5 tables of 2 over documents of up to 2,000 characters."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        q = hashing.minhash_bins(read(spark, sf, "benchmark"), "item_id", "text", 25, 4).withColumnRenamed("item_id", "qid")
+        r = hashing.minhash_bins(read(spark, sf, "documents"), "doc_id", "text", 25, 4).withColumnRenamed("doc_id", "rid")
+        return matching.lsh_votes(q, r, votes)
+
+    return run
+
+
+def lsh_whole_sql(votes: int) -> str:
+    least = ", ".join(f"min(md5('{i}:' || w)) AS m{i}" for i in range(100))
+    bins = ", ".join(NUMBER.format(" || '-' || ".join(f"m{4 * t + r}" for r in range(4))) for t in range(25))
+    side = lambda k, t: f"SELECT id, unnest(range(25)) AS tb, unnest([{bins}]) AS bin FROM (SELECT {k} AS id, {least} FROM (SELECT DISTINCT {k}, unnest({WORDS}) AS w FROM {t}) GROUP BY 1)"
+    return f"WITH q AS ({side('item_id', 'benchmark')}), r AS ({side('doc_id', 'documents')}) SELECT q.id AS qid, r.id AS rid, count(*)::BIGINT AS votes FROM q JOIN r ON q.tb = r.tb AND q.bin = r.bin GROUP BY 1, 2 HAVING count(*) >= {votes}"
+
+
+query(lsh_whole_sql(1), "lsh_minhash_votes_1")(_lsh_whole(1))
+query(lsh_whole_sql(4), "lsh_minhash_votes_4")(_lsh_whole(4))
+
+
 LAND = "SELECT DISTINCT {k} AS id, unnest(range(len(w) - 1)) AS t, unnest(list_transform(range(1, len(w)), lambda i: " + NUMBER.format("w[i] || ' ' || w[i + 1]") + ")) AS h FROM (SELECT {k}, " + WORDS + " AS w FROM {t}) WHERE len(w) > 1"
 
 
