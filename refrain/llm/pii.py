@@ -3,8 +3,8 @@
 The base kinds are found by patterns. What they match are the protected entities. A term discloses an entity as far as
 their co-occurrence in the corpus is informative: PMI(entity; term) / IC(entity), the pointwise mutual information of
 the two over the information content of the entity (Sanchez and Batet), 1 where the term never occurs without the
-entity. Terms near an entity whose disclosure reaches the threshold, in enough different surroundings, become spans of
-kind `term`. Sanitising generalises each span to the name of its kind.
+entity. Terms near an entity whose disclosure reaches the threshold, and which chance would hardly put there as often,
+become spans of kind `term`. Sanitising generalises each span to the name of its kind.
 
 Only DataFrame functions are used. Positions are code points, ends exclusive.
 """
@@ -43,11 +43,11 @@ NONE = "array<struct<start:int,kind:int,end:int,value:string>>"
 @dataclass(frozen=True)
 class PiiParams:
     """near: code points to both sides of an entity in which terms are weighed. disclosure: share of the entity's information
-    content from which a term is a span. support: different surroundings in which the two must have met."""
+    content from which a term is a span. chance: the most that chance may account for a term among all those weighed with the entity."""
 
     near: int = 60
     disclosure: float = 0.9
-    support: int = 3
+    chance: float = 0.05
 
 
 def _let(value: Column, then) -> Column:
@@ -99,7 +99,7 @@ def joined(spans: Column) -> Column:
 
 
 def _surroundings(docs: DataFrame, p: PiiParams) -> DataFrame:
-    """One row for each term near an entity: doc_id, key, entity, term, around (a hash of what is near), start and end."""
+    """One row for each term near an entity: doc_id, key, entity, term, start and end."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
     each = own.select("doc_id", F.xxhash64("text").alias("key"), "text", "spans", F.explode("spans").alias("s"))
     low, high = F.greatest(F.col("s.start") - p.near, F.lit(0)), F.least(F.col("s.end") + p.near, F.length("text"))
@@ -111,7 +111,15 @@ def _surroundings(docs: DataFrame, p: PiiParams) -> DataFrame:
     inside = F.exists("spans", lambda s: (s["start"] < F.col("to")) & (s["end"] > F.col("from")))
     found = each.where(~cut).withColumns({"from": start, "to": end}).where(~inside)
     entity = F.when(F.col("s.kind") == 0, F.lower("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9.]", ""))
-    return found.select("doc_id", "key", F.concat(F.col("s.kind").cast("string"), F.lit(":"), entity).alias("entity"), F.lower("t.value").alias("term"), F.xxhash64("part").alias("around"), F.col("from").alias("start"), F.col("to").alias("end"))
+    return found.select("doc_id", "key", F.concat(F.col("s.kind").cast("string"), F.lit(":"), entity).alias("entity"), F.lower("t.value").alias("term"), F.col("from").alias("start"), F.col("to").alias("end"))
+
+
+def _evidence() -> Column:
+    """-log of the most that chance gives a term to be in `both` or more of the entity's documents, were its own dealt at random
+    (Hoeffding's bound of the hypergeometric tail; exact for an entity of one document). Only for terms met more often than expected."""
+    share, base = F.col("both") / F.col("with_entity"), F.col("with_term") / F.col("total")
+    rest = F.when((share < 1) & (base < 1), (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return F.col("with_entity") * (share * F.log(share / base) + rest)
 
 
 def disclosing(docs: DataFrame, near: DataFrame, p: PiiParams) -> DataFrame:
@@ -119,17 +127,17 @@ def disclosing(docs: DataFrame, near: DataFrame, p: PiiParams) -> DataFrame:
 
     Documents are counted over the whole table: those with the term anywhere, with the entity, and with both close together.
     """
-    pairs = near.groupBy("entity", "term", "around", "doc_id", "key").agg(F.count("*").alias("rows")).groupBy("entity", "term", "around").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("ways"))
-    pairs = stored(pairs.where(F.col("ways") >= p.support), "pairs")
+    pairs = stored(near.select("entity", "term", "doc_id", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")), "pairs")
+    weighed = pairs.groupBy("entity").agg(F.count("*").alias("weighed"))
     entities = stored(near.select("entity", "doc_id", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity")), "entities")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     wanted = pairs.select("term").distinct()
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term")
     total = docs.agg(F.count("*").alias("total"))
-    found = pairs.join(stored(terms, "terms"), "term").join(entities, "entity").crossJoin(F.broadcast(total))  # total: one row
+    found = pairs.join(stored(terms, "terms"), "term").join(entities, "entity").join(weighed, "entity").crossJoin(F.broadcast(total))  # total: one row
     content = F.log(F.col("total") / F.col("with_entity"))
     pmi = F.log(F.col("both") * F.col("total") / (F.col("with_entity") * F.col("with_term")))
-    return found.where((content > 0) & (pmi >= p.disclosure * content)).select("entity", "term")
+    return found.where((content > 0) & (pmi >= p.disclosure * content) & (_evidence() >= F.log(F.col("weighed") / F.lit(p.chance)))).select("entity", "term")
 
 
 def with_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:

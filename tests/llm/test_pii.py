@@ -75,6 +75,30 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[150].text == dict(rows)[150] and clean[0].n_chars == len(clean[0].text)
 
 
+def told_terms(spark, rows):
+    return {x.doc_id: {x.text[s.start : s.end] for s in x.spans if s.kind == 4} for x in pii.with_spans(frame(spark, rows)).collect()}
+
+
+def common(n, seed, few=40):
+    r = random.Random(seed)
+    return " ".join(f"w{r.choice('abcdefgh')}{r.choice('aeiou')}" for _ in range(few)) if n is None else [common(None, seed * 10_000 + i, few) for i in range(n)]
+
+
+def test_exact_copies_and_rare_entities_are_protected(spark):
+    filler = common(1200, 3)
+    rows = list(enumerate(filler))
+    rows += [(2000 + i, f"{filler[0]} written by Zebulon zeb@mail.org {filler[1]}") for i in range(5)]
+    rows += [(3000, f"{filler[2]} written by Quorra quo@mail.org {filler[3]}")]
+    found = told_terms(spark, rows)
+    assert all("Zebulon" in found[2000 + i] for i in range(5)) and "Quorra" in found[3000]
+    assert not any(t.startswith("w") and len(t) == 3 for terms in found.values() for t in terms)
+
+
+def test_a_rare_entity_of_a_small_table_needs_more_than_one_meeting(spark):
+    rows = list(enumerate(common(30, 4))) + [(100, "one two three Quorra quo@mail.org four five six")]
+    assert not told_terms(spark, rows)[100]
+
+
 def test_overlapping_spans_are_masked(spark):
     row = spark.range(1).select(pii.sanitised(F.lit("abcdefgh"), F.expr("array(named_struct('start', 1, 'kind', 0, 'end', 4, 'value', ''), named_struct('start', 3, 'kind', 3, 'end', 6, 'value', ''))")).alias("x")).first()
     assert row.x == "a[EMAIL]gh"
