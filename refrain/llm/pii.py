@@ -3,8 +3,10 @@
 The base kinds are found by patterns. What they match are the protected entities. A term discloses an entity as far as
 their co-occurrence in the corpus is informative: PMI(entity; term) / IC(entity), the pointwise mutual information of
 the two over the information content of the entity (Sanchez and Batet), 1 where the term never occurs without the
-entity. Terms near an entity whose disclosure reaches the threshold, and which chance would hardly put there as often,
-become spans of kind `term`. Sanitising generalises each span to the name of its kind.
+entity. The terms weighed are those that come near the entity anywhere; they co-occur in a document wherever in it they
+stand. Where the disclosure reaches the threshold, and chance would hardly put the term there as often, each occurrence of
+the term in the documents that hold the entity becomes a span of kind `term`. Sanitising generalises each span to the
+name of its kind.
 
 Only DataFrame functions are used. Positions are code points, ends exclusive.
 """
@@ -98,20 +100,32 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _surroundings(docs: DataFrame, p: PiiParams) -> DataFrame:
-    """One row for each term near an entity: doc_id, key, entity, term, start and end."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
-    each = own.select("doc_id", F.xxhash64("text").alias("key"), "text", "spans", F.explode("spans").alias("s"))
+def _doc() -> Column:
+    """What tells documents apart; never null, also where doc_id is."""
+    return F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc")
+
+
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _overlaps(spans: Column, start: Column, end: Column) -> Column:
+    return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
+
+
+def _surroundings(held: DataFrame, p: PiiParams) -> DataFrame:
+    """doc, entity and term of each term near an entity, and of each entity without one (a null term). held: documents with spans."""
+    each = held.select("doc", "text", "spans", F.explode("spans").alias("s"))
     low, high = F.greatest(F.col("s.start") - p.near, F.lit(0)), F.least(F.col("s.end") + p.near, F.length("text"))
     each = each.withColumns({"low": low, "high": high, "open": F.col("s.start") - p.near > 0, "shut": F.col("s.end") + p.near < F.length("text")})
     each = each.withColumn("part", F.substring("text", F.col("low") + 1, F.col("high") - F.col("low")))
-    each = each.withColumn("t", F.explode(matches(F.col("part"), TERM, len(PATTERNS))))
+    each = each.withColumn("t", F.explode_outer(matches(F.col("part"), TERM, len(PATTERNS))))
     start, end = F.col("low") + F.col("t.start"), F.col("low") + F.col("t.end")
     cut = (F.col("open") & (F.col("t.start") == 0)) | (F.col("shut") & (F.col("t.end") == F.col("high") - F.col("low")))
-    inside = F.exists("spans", lambda s: (s["start"] < F.col("to")) & (s["end"] > F.col("from")))
-    found = each.where(~cut).withColumns({"from": start, "to": end}).where(~inside)
     entity = F.when(F.col("s.kind") == 0, F.lower("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9.]", ""))
-    return found.select("doc_id", "key", F.concat(F.col("s.kind").cast("string"), F.lit(":"), entity).alias("entity"), F.lower("t.value").alias("term"), F.col("from").alias("start"), F.col("to").alias("end"))
+    term = F.when(~cut & ~_overlaps(F.col("spans"), start, end), F.lower("t.value"))
+    return each.select("doc", F.concat(F.col("s.kind").cast("string"), F.lit(":"), entity).alias("entity"), term.alias("term"))
 
 
 def _evidence() -> Column:
@@ -122,22 +136,28 @@ def _evidence() -> Column:
     return F.col("with_entity") * (share * F.log(share / base) + rest)
 
 
-def disclosing(docs: DataFrame, near: DataFrame, p: PiiParams) -> DataFrame:
-    """(entity, term) whose disclosure reaches the threshold. near: the stored surroundings.
+def disclosing(docs: DataFrame, p: PiiParams) -> DataFrame:
+    """doc and `told`, the terms that disclose an entity of that document; only documents with such terms.
 
-    Documents are counted over the whole table: those with the term anywhere, with the entity, and with both close together.
+    Documents are counted over the whole table: those with the term anywhere, with the entity, and with both.
     """
-    pairs = stored(near.select("entity", "term", "doc_id", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")), "pairs")
-    weighed = pairs.groupBy("entity").agg(F.count("*").alias("weighed"))
-    entities = stored(near.select("entity", "doc_id", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity")), "entities")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    wanted = pairs.select("term").distinct()
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term")
+    held = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0").withColumn("doc", _doc())
+    near = stored(_surroundings(held, p).distinct(), "near")
+    holding = stored(near.select("entity", "doc").distinct(), "holding")
+    pairs = stored(near.where("term is not null").select("entity", "term").distinct(), "pairs")
+    entities = holding.groupBy("entity").agg(F.count("*").alias("with_entity")).join(pairs.groupBy("entity").agg(F.count("*").alias("weighed")), "entity")
+    terms = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(pairs.select("term").distinct(), "term")
     total = docs.agg(F.count("*").alias("total"))
-    found = pairs.join(stored(terms, "terms"), "term").join(entities, "entity").join(weighed, "entity").crossJoin(F.broadcast(total))  # total: one row
     content = F.log(F.col("total") / F.col("with_entity"))
-    pmi = F.log(F.col("both") * F.col("total") / (F.col("with_entity") * F.col("with_term")))
-    return found.where((content > 0) & (pmi >= p.disclosure * content) & (_evidence() >= F.log(F.col("weighed") / F.lit(p.chance)))).select("entity", "term")
+    pmi = lambda both: F.log(both * F.col("total") / (F.col("with_entity") * F.col("with_term")))
+    found = pairs.join(stored(terms, "terms"), "term").join(stored(entities, "entities"), "entity").crossJoin(F.broadcast(total))  # total: one row
+    # the others fall short even if one were never met without the other
+    hopeful = stored(found.where((content > 0) & (pmi(F.least("with_entity", "with_term")) >= p.disclosure * content)), "hopeful")
+    words = held.select("doc", F.explode(_words(F.col("text"))).alias("term")).join(hopeful.select("term").distinct(), "term").distinct()
+    met = stored(stored(words, "words").join(hopeful.select("entity", "term"), "term").join(holding, ["entity", "doc"]), "met")
+    both = met.groupBy("entity", "term").agg(F.count("*").alias("both")).join(hopeful, ["entity", "term"])
+    told = both.where((pmi(F.col("both")) >= p.disclosure * content) & (_evidence() >= F.log(F.col("weighed") / F.lit(p.chance)))).select("entity", "term")
+    return met.join(stored(told, "told"), ["entity", "term"]).groupBy("doc").agg(F.collect_set("term").alias("told"))
 
 
 def with_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
@@ -147,16 +167,14 @@ def with_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     apart by a hash of the text. Columns other than doc_id and text stay as they are; `base` and `spans` are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in ("base", "spans")]
-    own, texts = docs.select(*quoted(keep)), docs.select("doc_id", "text")
-    near = stored(_surroundings(texts, p), "near")
-    told = stored(disclosing(texts, near, p), "told")
-    doc, key, found_terms, plain = (fresh(docs, n) for n in ("term_doc", "term_key", "terms", "base"))
-    term = F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end", F.col("term").alias("value"))
-    terms = near.join(told, ["entity", "term"]).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(term)).alias("terms"))
-    terms = stored(terms.select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("terms").alias(found_terms)), "terms")
+    own = docs.select(*quoted(keep))
+    doc, key, told, plain = (fresh(docs, n) for n in ("term_doc", "term_key", "told", "base"))
+    terms = disclosing(docs.select("doc_id", "text"), p)
+    terms = stored(terms.select(F.col("doc.doc_id").alias(doc), F.col("doc.key").alias(key), F.col("told").alias(told)), "terms")
     text = F.coalesce("text", F.lit(""))
     found = own.withColumn(plain, base_spans(text)).join(terms, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
-    every = F.when(F.col(found_terms).isNull(), F.col(plain)).otherwise(F.array_sort(F.concat(plain, found_terms)))
+    placed = F.filter(matches(text, TERM, len(PATTERNS)), lambda t: F.array_contains(F.col(told), F.lower(t["value"])) & ~_overlaps(F.col(plain), t["start"], t["end"]))
+    every = F.when(F.col(told).isNull(), F.col(plain)).otherwise(F.array_sort(F.concat(plain, placed)))
     return found.select(*quoted(keep), F.col(plain).alias("base"), every.alias("spans"))
 
 

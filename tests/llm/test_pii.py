@@ -99,6 +99,24 @@ def test_a_rare_entity_of_a_small_table_needs_more_than_one_meeting(spark):
     assert not told_terms(spark, rows)[100]
 
 
+def test_told_terms_are_spans_throughout_the_document(spark):
+    filler = common(1200, 5)
+    far = " ".join(filler[:3])
+    rows = list(enumerate(filler))
+    rows += [(2000, f"zebulon first {far} written by Zebulon zeb@mail.org {far} ZEBULON and Zebulons end zebulon")]
+    rows += [(2001 + i, f"Quorra {far} {i} {far} quo@mail.org {filler[3]}") for i in range(3)] + [(2010, f"{filler[5]} Quorra quo@mail.org {filler[6]}")]
+    rows += [(None, f"Mandrake man@mail.org {far} mandrake"), (None, None), (2020, "Ulrike uli@mail.org " + far), (2020, far)]
+    found = pii.with_spans(frame(spark, rows)).collect()
+    got = {}
+    for x in found:
+        got.setdefault(x.doc_id, []).extend(x.text[s.start : s.end] for s in x.spans if s.kind == 4)
+    assert [t for t in got[2000] if t.lower() == "zebulon"] == ["zebulon", "Zebulon", "ZEBULON", "zebulon"]
+    assert all("Quorra" in got[2001 + i] for i in range(3)) and "Quorra" in got[2010]  # near in one document, far in three
+    assert [t for t in got[None] if t.lower() == "mandrake"] == ["Mandrake", "mandrake"] and "Ulrike" in got[2020]
+    clean = {x.doc_id: x.text for x in pii.stage(spark, frame(spark, rows), "").collect()}
+    assert "zebulon " not in clean[2000].lower() and "quorra" not in clean[2001].lower()
+
+
 def test_overlapping_spans_are_masked(spark):
     row = spark.range(1).select(pii.sanitised(F.lit("abcdefgh"), F.expr("array(named_struct('start', 1, 'kind', 0, 'end', 4, 'value', ''), named_struct('start', 3, 'kind', 3, 'end', 6, 'value', ''))")).alias("x")).first()
     assert row.x == "a[EMAIL]gh"
