@@ -2,7 +2,7 @@
 
 A rule names a host and the beginning of a path; it fits that host and all below it. The keys of a URL are its host
 and all hosts above, each with all beginnings of the path of a length that some rule has. A key first meets the Bloom filter, one
-block of 256 bits per key, eight bits in it, one in each 32-bit word. What passes is joined with the rules exactly.
+block of 256 bits per key (see bloom). What passes is joined with the rules exactly.
 
 Only DataFrame functions are used.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refrain.llm import bloom
 from refrain.llm.common import fresh, quoted, read, stored
 
 #: Rules (host, path, verdict) of the query; fixed values.
@@ -23,11 +24,8 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 DEFAULT = "allow"
-#: Keys per block of 256 bits, on average; with 16 bits a key, about one other key in a thousand passes.
-PER_BLOCK = 16
 #: Rules up to which the lists and the filter (about 2 bytes a rule) are broadcast; more are joined by shuffles.
 MOST_BROADCAST = 500_000
-WORDS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -47,41 +45,10 @@ def above(host: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
 
 
-def _bits(key: Column, blocks: Column) -> tuple[Column, Column]:
-    """The block of a key, and its eight 32-bit masks."""
-    own = F.xxhash64(key)
-    salts = F.array(*(F.lit(x) for x in (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)))
-    low = own.bitwiseAND(F.lit(0x7FFFFFFF))
-    masks = F.transform(salts, lambda s: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftrightunsigned", (low * s).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(27)).cast("int")))
-    return F.pmod(F.call_function("shiftrightunsigned", own, F.lit(32)), blocks), masks
-
-
-def bloom_blocks(rules: DataFrame, blocks: int) -> DataFrame:
-    """(block, words): the blocks of the filter that hold any bits."""
-    block, masks = _bits(F.col("key"), F.lit(blocks))
-    keys = rules.select(block.alias("block"), masks.alias("masks"))
-    return keys.groupBy("block").agg(F.array(*(F.bit_or(F.get("masks", F.lit(i))) for i in range(WORDS))).alias("words"))
-
-
-def _holds(words: Column, masks: Column, at: Column) -> Column:
-    """Whether all bits of the masks are in the words from a place on."""
-    found = F.lit(True)
-    for i in range(WORDS):
-        found = found & (F.get(words, at + i).bitwiseAND(F.get(masks, F.lit(i))) == F.get(masks, F.lit(i)))
-    return found
-
-
 def possible(keys: DataFrame, rules: DataFrame, n: int) -> DataFrame:
     """Those rows of keys (key, ...) whose key the filter of the n rules may hold."""
-    blocks = max(1, -(-n // PER_BLOCK))
-    block, masks = _bits(F.col("key"), F.lit(blocks))
-    placed = keys.withColumns({"block": block, "masks": masks})
-    if n > MOST_BROADCAST:
-        return placed.join(bloom_blocks(rules, blocks), "block").where(_holds(F.col("words"), F.col("masks"), F.lit(0))).select(*keys.columns)
-    every = keys.sparkSession.range(blocks).withColumnRenamed("id", "block").join(bloom_blocks(rules, blocks), "block", "left")
-    empty = F.array_repeat(F.lit(0).cast("bigint"), WORDS)
-    one = every.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", F.coalesce("words", empty).alias("words")))), lambda b: b["words"])).alias("bloom"))
-    return placed.where(_holds(one.scalar(), F.col("masks"), (F.col("block") * WORDS).cast("int"))).select(*keys.columns)
+    blocks = bloom.blocks_for(n)
+    return bloom.possible(keys, F.col("key"), bloom.filter_of(rules, F.col("key"), blocks), blocks, n <= MOST_BROADCAST)
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
@@ -90,7 +57,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     rules: host, path, verdict; one with a null is not read. Of rules for the same host and path, block wins. Of those that fit, the one with the
     longest host wins, then the one with the longest path. A null url, or one without ://, has an empty host and path and
     fits none: its rule is null and its verdict the default. Repeated rows and ids are judged row by row. Other columns
-    stay; those named host, path, rule or verdict are replaced.
+    stay; those named host, path, rule or verdict are replaced. A URL of any length is judged whole; a table without rows gives none.
     """
     known = rules.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     known = known.select("host", "path", F.concat("host", F.lit("\x00"), "path").alias("key"), F.concat("host", "path").alias("listed"), F.col("verdict").alias("said"))
@@ -117,6 +84,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page, a row each, as judge finds them by RULES.
+
+    Null and empty URLs, and those without ://, are allowed with an empty host and path; repeated rows are judged each,
+    other columns of pages are not looked at, and a table without rows gives none.
+    """
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS rules(host, path, verdict)")
     return judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
