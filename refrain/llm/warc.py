@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refrain.llm import bloom
 from refrain.llm.common import as_bytes, batches, new_path, read, small_batches, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,13 +31,15 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 @dataclass(frozen=True)
 class WarcParams:
     """min_bytes: of payloads that may be revisits. level: of gzip. roll: bytes from which an archive is closed. gap, span:
-    bytes between records that one read may skip, and bytes that it fetches at most (a larger record is read whole)."""
+    bytes between records that one read may skip, and bytes that it fetches at most (a larger record is read whole).
+    most_broadcast: repeated digests (some 60 bytes each) that go to every task; more meet the pages in a shuffle."""
 
     min_bytes: int = 0
     level: int = 3
     roll: int = 1_000_000_000
     gap: int = 65_536
     span: int = 8_000_000
+    most_broadcast: int = 200_000
     date: str = "1970-01-01T00:00:00Z"
 
 
@@ -45,11 +48,23 @@ def with_types(pages: DataFrame, p: WarcParams = WarcParams()) -> DataFrame:
 
     Of the records with equal payloads of at least min_bytes bytes, that with the largest page_id is the response and the others revisit
     it; rows that share that page_id are all responses. A null page_id is less than any other; if no other has the payload, all are responses.
+    Null and empty html are the empty payload; a null URL stays null. Payloads of any length are taken whole, other columns of pages are
+    not looked at, and a table without rows gives none.
+
+    Digests meet without payloads. Where the repeated ones are too many to broadcast, only pages whose digest a Bloom filter of them may
+    hold are shuffled with their payloads.
     """
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", as_bytes("html", "payload")).withColumn("sha1", F.sha1("payload"))
     hashed = own.where(F.octet_length("payload") >= p.min_bytes).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     again = stored(hashed.where("n > 1 and first is not null").select("sha1", "first"), "again")
-    found = own.join(again, "sha1", "left")
+    n = again.count()
+    if n <= p.most_broadcast:
+        found = own.join(F.broadcast(again), "sha1", "left")
+    else:
+        blocks = min(bloom.blocks_for(n), bloom.MOST_BLOCKS)
+        asked = bloom.marked(own, F.col("sha1"), bloom.filter_of(again, F.col("sha1"), blocks), blocks)
+        met = asked.where("maybe").join(again.hint("merge"), "sha1", "left")
+        found = met.unionByName(asked.where("not maybe").withColumn("first", F.lit(None).cast("bigint")))
     revisit = F.coalesce(F.col("first") > F.col("page_id"), F.col("first").isNotNull())
     return found.select("page_id", "url", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -61,7 +76,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, kind
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{'null-' + uuid.uuid4().hex if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+        shown = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+        lines.append("WARC-Target-URI: " + shown)
+        if shown != url:  # what an archive's header can't hold is read back from a header of its own
+            lines.append("X-Target-URI-Base64: " + base64.b64encode(url.encode()).decode())
     if kind == "revisit":
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -140,7 +158,9 @@ def parse(data: bytes) -> tuple[int | None, str | None, str, int | None, str, in
     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
     page = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:x-page:(-?\d+)>", fields.get(name, ""))) else None
-    return page("WARC-Record-ID"), fields.get("WARC-Target-URI"), kind, page("WARC-Refers-To"), digest, size, payload
+    raw = fields.get("X-Target-URI-Base64")
+    url = fields.get("WARC-Target-URI") if raw is None else base64.b64decode(raw).decode()
+    return page("WARC-Record-ID"), url, kind, page("WARC-Refers-To"), digest, size, payload
 
 
 def read_records(index: DataFrame, folder: str, p: WarcParams = WarcParams(), payloads: bool = True) -> DataFrame:
@@ -178,6 +198,11 @@ def read_records(index: DataFrame, folder: str, p: WarcParams = WarcParams(), pa
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, read back from archives that hold all of them.
+
+    A row per row of pages, repeated ones too; null html is empty, a null URL has no header, other columns are not looked
+    at. Of equal payloads the largest page_id is the response. A table without rows gives none.
+    """
     folder = new_path(spark, "warc")
     index = write(with_types(read(spark, sf_dir, "pages")), folder)
     return read_records(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -30,13 +30,14 @@ def expected(pages, least=0):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least", [0, 5])
-def test_archives_read_back(spark, least):
-    p = warc.WarcParams(min_bytes=least, roll=2000, span=1000, gap=10)
+@pytest.mark.parametrize("least, most", [(0, 200_000), (5, 200_000), (0, 0), (5, 1)])  # repeated digests broadcast, and joined by a shuffle
+def test_archives_read_back(spark, least, most):
+    p = warc.WarcParams(min_bytes=least, roll=2000, span=1000, gap=10, most_broadcast=most)
     folder = new_path(spark, "test-warc")
     index = warc.write(warc.with_types(spark.createDataFrame(PAGES, SCHEMA).repartition(3), p), folder, p)
     found = warc.read_records(index, folder, p).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == expected(PAGES, least)
+    assert sorted((str(r.page_id), str(r.url)) for r in found) == sorted((str(i), str(u)) for i, u, _ in PAGES)  # blanks and line ends too
     for r in found:
         data = bytes(r.payload)
         assert data == b"" if r.record_type == "revisit" else base64.b32encode(hashlib.sha1(data).digest()).decode() == r.payload_digest
