@@ -1,3 +1,4 @@
+import collections
 import random
 import zlib
 
@@ -77,6 +78,44 @@ def test_sum_of_squares_is_a_packing(lengths):
     assert all(v <= 64 for v in full.values()) and len(full) <= 2 * -(-sum(lengths) // 64) + 1
 
 
+def brute(lengths, limit, late):
+    """The sequences' contents by the rule itself: every choice's sum of squared counts of gaps, counted anew."""
+    full = []
+
+    def score(levels):
+        return sum(c * c for c in collections.Counter(limit - x for x in levels if x < limit).values())
+
+    for n in sorted(lengths, reverse=True):
+        room = [k for k, x in enumerate(full) if x + n <= limit]
+        choices = [(score([x + n * (j == k) for j, x in enumerate(full)]), -full[k], 0, k) for k in room]
+        if not late or not room:
+            choices.append((score([*full, n]), 0, 1, len(full)))
+        k = min(choices)[-1] if late or not room else min(choices, key=lambda c: (c[0], c[2], c[1]))[-1]
+        full[k:] = [full[k] + n, *full[k + 1 :]] if k < len(full) else [n]
+    return sorted(full)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=40), st.booleans())
+def test_sum_of_squares_equals_brute_force(lengths, late):
+    place, _ = packing.sum_of_squares(np.array(lengths, np.int64), 24, late)
+    got = collections.Counter()
+    for n, k in zip(lengths, place.tolist(), strict=True):
+        got[k] += n
+    assert sorted(got.values()) == brute(lengths, 24, late)
+
+
+def test_two_runs_agree(spark):
+    sf = "/root/testdata/sf0.001"
+    one, two = ({(r.doc_id, r.piece): (r.length, r.ids_crc32, r.sequence_id, r.offset) for r in packing.op8_packing(spark, sf).collect()} for _ in range(2))
+    assert one == two and {i for i, _ in one} == {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def test_repeated_rows_spread_over_the_groups():
+    dealt = collections.Counter(packing.deal_of(p, k) % 7 for p in range(50) for k in range(200))
+    assert len(dealt) == 7 and max(dealt.values()) < 1.1 * min(dealt.values())
+
+
 def test_the_rule_prefers_the_smaller_sum_of_squares():
     # open gaps after 40, 40, 40 and 30: 24 three times, 34 once; a 10 fits all, and 34 -> 24 makes four of one gap, 24 -> 14 evens them out
     place, _ = packing.sum_of_squares(np.array([40, 40, 40, 30, 10]), 64)
