@@ -23,7 +23,7 @@ def test_run_equals_a_plain_version(spark):
         n, _, _, _, repeat = brute(text)
         (found,) = quality_rules.measure(iter([text.encode()]), quality_rules.Limits().min_repeat)
         lim = quality_rules.Limits()
-        long = found[6] > lim.max_longest and 100 * found[6] > lim.max_longest_percent * n
+        long = found[6] > min(200, max(60, n // 10))
         return n >= 50 and 100 * repeat <= 50 * n and not long and 100 * found[5] <= lim.max_covered_percent * n
 
     rows = [r for r in rows if passes(r.text)]

@@ -59,6 +59,37 @@ def test_the_method_rejects_long_and_many_repeats(spark):
     assert {r.doc_id: r.quality.kept for r in q.with_counts(frame(spark, rows)).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_the_longest_repeat_is_bounded_in_words_whatever_the_length(spark):
+    r = random.Random(3)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**7)}" for _ in range(n))
+    passage = fresh(400)
+    rows = [(n, f"{' '.join(passage.split()[:n])} {fresh(30_000)} {' '.join(passage.split()[:n])}") for n in (150, 200, 201, 400)]
+    found = {x.doc_id: x.quality for x in q.with_counts(frame(spark, rows)).collect()}
+    assert {i: x.kept for i, x in found.items()} == {150: True, 200: True, 201: False, 400: False}
+    assert all(x.longest_repeat == i for i, x in found.items())
+
+
+def test_a_text_of_five_million_words_takes_linear_memory():
+    import resource
+
+    r = np.random.default_rng(4)
+    half = r.integers(0, 40_000, 2_500_000)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert q.repeats([np.concatenate([half, half])], 8) == [(5_000_000, 5_000_000, 2_500_000)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = q.op10_quality_rules(spark, sf).collect()
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    for r in found:
+        n, chars, symbols, lines, repeat = brute(docs[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeat)
+        assert r.base_failed == (n < 50 or 100 * repeat > 50 * n) and not (r.base_failed and r.kept)
+
+
 def test_odd_tables(spark, clashing, none):
     assert q.with_counts(none).collect() == []
     assert q.stage(spark, clashing, "").columns == clashing.columns
