@@ -1,12 +1,15 @@
-"""Personal data: fixed patterns, and information-theoretic sanitisation of the terms around them.
+"""Personal data: fixed patterns, and information-theoretic sanitisation of the terms that come with them.
 
 The base kinds are found by patterns. What they match are the protected entities. A term discloses an entity as far as
-their co-occurrence in the corpus is informative: PMI(entity; term) / IC(entity), the pointwise mutual information of
-the two over the information content of the entity (Sanchez and Batet), 1 where the term never occurs without the
-entity. The terms weighed are those that come near the entity anywhere; they co-occur in a document wherever in it they
-stand. Where the disclosure reaches the threshold, and chance would hardly put the term there as often, each occurrence of
-the term in the documents that hold the entity becomes a span of kind `term`. Sanitising generalises each span to the
-name of its kind.
+their co-occurrence in the documents of the corpus is informative: PMI(entity; term) / IC(entity), the pointwise mutual
+information of the two over the information content of the entity (Sanchez and Batet), 1 where the term never occurs
+without the entity. All terms of the documents that hold an entity are weighed. Where the disclosure reaches the threshold,
+and chance would hardly put the term there as often, each occurrence of the term in the documents that hold the entity
+becomes a span of kind `term`. Sanitising generalises each span to the name of its kind.
+
+Equal texts are one document that counts as often as it occurs, and entities of the same documents are one class, as
+every term discloses them alike; so neither copies nor lists of addresses multiply pairs. A pair is only counted where
+the numbers of documents of term and class leave the threshold in reach, which leaves out common words.
 
 Only DataFrame functions are used. Positions are code points, ends exclusive.
 """
@@ -44,10 +47,9 @@ NONE = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 @dataclass(frozen=True)
 class PiiParams:
-    """near: code points to both sides of an entity in which terms are weighed. disclosure: share of the entity's information
-    content from which a term is a span. chance: the most that chance may account for a term among all those weighed with the entity."""
+    """disclosure: share of the entity's information content from which a term is a span. chance: the most that chance may account
+    for a term among all those weighed with the entity."""
 
-    near: int = 60
     disclosure: float = 0.9
     chance: float = 0.05
 
@@ -57,17 +59,20 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _sums(lengths: Column) -> Column:
-    """Running sums: by blocks of 256, so that long arrays take little time."""
-    add = lambda a, x: a + x
-    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+def _running(values: Column, start: Column, step) -> Column:
+    """Running results of step (which is associative, with `start` neutral): by blocks of 256, so that long arrays take little time."""
+    over = lambda xs, first: F.aggregate(xs, first, step)
 
     def by_block(blocks: Column) -> Column:
-        before = F.aggregate(blocks, F.array(F.lit(0)), lambda a, xs: F.array_append(a, F.element_at(a, -1) + total(xs)))
-        within = lambda xs, start: F.transform(xs, lambda x, i: start + x + total(F.slice(xs, F.lit(1), i)))
-        return _let(before, lambda sums: F.flatten(F.transform(blocks, lambda xs, b: _let(F.get(sums, b), lambda start: within(xs, start)))))
+        before = F.aggregate(blocks, F.array(start), lambda a, xs: F.array_append(a, step(F.element_at(a, -1), over(xs, start))))
+        within = lambda xs, first: F.transform(xs, lambda x, i: over(F.slice(xs, F.lit(1), i + 1), first))
+        return _let(before, lambda sums: F.flatten(F.transform(blocks, lambda xs, b: _let(F.get(sums, b), lambda first: within(xs, first)))))
 
-    return _let(F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / 256).cast("int")), lambda b: F.slice(lengths, b * 256 + 1, 256)), by_block)
+    return _let(F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / 256).cast("int")), lambda b: F.slice(values, b * 256 + 1, 256)), by_block)
+
+
+def _sums(lengths: Column) -> Column:
+    return _running(lengths, F.lit(0), lambda a, x: a + x)
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
@@ -100,9 +105,16 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _doc() -> Column:
-    """What tells documents apart; never null, also where doc_id is."""
-    return F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc")
+def _key(text: Column) -> Column:
+    """Tells texts apart."""
+    return F.md5(text.cast("binary"))
+
+
+def _without_emails(text: Column) -> Column:
+    """The text with blanks for its emails, the only base spans that hold letters; every other place stays."""
+    parts, found = F.split(text, PATTERNS["email"], -1), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    blank = lambda a, b: F.concat(a, F.coalesce(F.repeat(F.lit(" "), F.length(b)), F.lit("")))
+    return F.when(NEEDS["email"](text) & text.rlike(PATTERNS["email"]), F.array_join(F.zip_with(parts, found, blank), "")).otherwise(text)
 
 
 def _words(text: Column) -> Column:
@@ -110,90 +122,109 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _overlaps(spans: Column, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
+def _entity(span: Column) -> Column:
+    own = F.when(span["kind"] == 0, F.lower(span["value"])).otherwise(F.regexp_replace(span["value"], "[^0-9.]", ""))
+    return F.concat(span["kind"].cast("string"), F.lit(":"), own)
 
 
-def _surroundings(held: DataFrame, p: PiiParams) -> DataFrame:
-    """doc, entity and term of each term near an entity, and of each entity without one (a null term). held: documents with spans."""
-    each = held.select("doc", "text", "spans", F.explode("spans").alias("s"))
-    low, high = F.greatest(F.col("s.start") - p.near, F.lit(0)), F.least(F.col("s.end") + p.near, F.length("text"))
-    each = each.withColumns({"low": low, "high": high, "open": F.col("s.start") - p.near > 0, "shut": F.col("s.end") + p.near < F.length("text")})
-    each = each.withColumn("part", F.substring("text", F.col("low") + 1, F.col("high") - F.col("low")))
-    each = each.withColumn("t", F.explode_outer(matches(F.col("part"), TERM, len(PATTERNS))))
-    start, end = F.col("low") + F.col("t.start"), F.col("low") + F.col("t.end")
-    cut = (F.col("open") & (F.col("t.start") == 0)) | (F.col("shut") & (F.col("t.end") == F.col("high") - F.col("low")))
-    entity = F.when(F.col("s.kind") == 0, F.lower("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9.]", ""))
-    term = F.when(~cut & ~_overlaps(F.col("spans"), start, end), F.lower("t.value"))
-    return each.select("doc", F.concat(F.col("s.kind").cast("string"), F.lit(":"), entity).alias("entity"), term.alias("term"))
-
-
-def _evidence() -> Column:
+def _evidence(both: Column) -> Column:
     """-log of the most that chance gives a term to be in `both` or more of the entity's documents, were its own dealt at random
-    (Hoeffding's bound of the hypergeometric tail; exact for an entity of one document). Only for terms met more often than expected."""
-    share, base = F.col("both") / F.col("with_entity"), F.col("with_term") / F.col("total")
+    (Hoeffding's bound of the hypergeometric tail; exact for an entity of one document). 0 for terms met no more often than expected."""
+    share, base = both / F.col("with_entity"), F.col("with_term") / F.col("total")
     rest = F.when((share < 1) & (base < 1), (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    return F.col("with_entity") * (share * F.log(share / base) + rest)
+    return F.when(share > base, F.col("with_entity") * (share * F.log(share / base) + rest)).otherwise(0.0)
+
+
+def _tells(both: Column, p: PiiParams) -> Column:
+    """Whether a term that is in `both` of the entity's documents discloses it."""
+    content = F.log(F.col("total") / F.col("with_entity"))
+    pmi = F.log(both * F.col("total") / (F.col("with_entity") * F.col("with_term")))
+    return (content > 0) & (pmi >= p.disclosure * content) & (_evidence(both) >= F.log(F.col("weighed") / F.lit(p.chance)))
+
+
+def classes(holding: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities that the same texts hold are one class: (class, with_entity, weighed) and (class, key). holding: entity, key, n (rows of the text), words (its terms).
+
+    A class is known by the exclusive or of two hashes of its texts' keys and their number.
+    """
+    every = holding.groupBy("entity").agg(F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.reverse("key"))).alias("y"), F.sum("n").alias("with_entity"), F.sum("words").alias("weighed"), F.count("*").alias("texts"))
+    named = stored(every.select("entity", F.struct("x", "y", "texts").alias("class"), "with_entity", "weighed"), "entities")
+    held = holding.select("entity", "key").join(named.select("entity", "class"), "entity").select("class", "key").distinct()
+    return named.select("class", "with_entity", "weighed").distinct(), held
 
 
 def disclosing(docs: DataFrame, p: PiiParams) -> DataFrame:
-    """doc and `told`, the terms that disclose an entity of that document; only documents with such terms.
+    """(key, placed) of the texts that hold terms which disclose an entity of theirs: the spans (start, kind, end, value) of these terms. docs: text, not null.
 
     Documents are counted over the whole table: those with the term anywhere, with the entity, and with both.
     """
-    held = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0").withColumn("doc", _doc())
-    near = stored(_surroundings(held, p).distinct(), "near")
-    holding = stored(near.select("entity", "doc").distinct(), "holding")
-    pairs = stored(near.where("term is not null").select("entity", "term").distinct(), "pairs")
-    entities = holding.groupBy("entity").agg(F.count("*").alias("with_entity")).join(pairs.groupBy("entity").agg(F.count("*").alias("weighed")), "entity")
-    terms = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(pairs.select("term").distinct(), "term")
+    found = docs.withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
+    found = found.select(_key(F.col("text")).alias("key"), F.array_distinct(F.transform("spans", _entity)).alias("entities"), _without_emails(F.col("text")).alias("rest"))
+    found = found.select("key", "entities", matches(F.col("rest"), TERM, len(PATTERNS)).alias("terms"))
+    held = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "held")
+    words = held.select("key", "n", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term"))
+    sized = held.select("key", "n", "entities", F.size(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("words"))
+    kinds, members = classes(stored(sized.select("key", "n", "words", F.explode("entities").alias("entity")), "holding"))
+    counted = docs.select(F.explode(_words(_without_emails(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     total = docs.agg(F.count("*").alias("total"))
-    content = F.log(F.col("total") / F.col("with_entity"))
-    pmi = lambda both: F.log(both * F.col("total") / (F.col("with_entity") * F.col("with_term")))
-    found = pairs.join(stored(terms, "terms"), "term").join(stored(entities, "entities"), "entity").crossJoin(F.broadcast(total))  # total: one row
+    words = stored(words.join(counted, "term"), "words")
+    asked = members.join(kinds, "class").crossJoin(F.broadcast(total))  # total: one row
     # the others fall short even if one were never met without the other
-    hopeful = stored(found.where((content > 0) & (pmi(F.least("with_entity", "with_term")) >= p.disclosure * content)), "hopeful")
-    words = held.select("doc", F.explode(_words(F.col("text"))).alias("term")).join(hopeful.select("term").distinct(), "term").distinct()
-    met = stored(stored(words, "words").join(hopeful.select("entity", "term"), "term").join(holding, ["entity", "doc"]), "met")
-    both = met.groupBy("entity", "term").agg(F.count("*").alias("both")).join(hopeful, ["entity", "term"])
-    told = both.where((pmi(F.col("both")) >= p.disclosure * content) & (_evidence() >= F.log(F.col("weighed") / F.lit(p.chance)))).select("entity", "term")
-    return met.join(stored(told, "told"), ["entity", "term"]).groupBy("doc").agg(F.collect_set("term").alias("told"))
+    met = stored(asked.join(words, "key").where(_tells(F.least("with_entity", "with_term"), p)).select("class", "key", "n", "term", "with_entity", "with_term", "weighed", "total"), "met")
+    both = met.groupBy("class", "term", "with_entity", "with_term", "weighed", "total").agg(F.sum("n").alias("both"))
+    told = stored(both.where(_tells(F.col("both"), p)).select("class", "term"), "told")
+    chosen = met.select("class", "term", "key").join(told, ["class", "term"]).select("key", "term").distinct()
+    each = held.join(chosen.select("key").distinct(), "key", "left_semi").select("key", F.explode("terms").alias("t")).withColumn("term", F.lower("t.value"))
+    return stored(each.join(chosen, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("placed")), "placed")
 
 
 def with_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     """docs with `base` and `spans`, arrays of (start, kind, end, value), by start, then kind; kinds count from 0 in KINDS.
 
-    Null texts are as empty ones: no spans. Equal rows get equal spans; rows that share a doc_id but not the text are told
-    apart by a hash of the text. Columns other than doc_id and text stay as they are; `base` and `spans` are replaced.
+    Null texts are as empty ones: no spans. Equal texts get equal spans, whatever their doc_id, and repeated rows count as often as they
+    occur. Texts are searched whole, in time linear in their length and entities. Columns other than text stay as they are, under any names; `base`
+    and `spans` are replaced. A table without rows gives none.
     """
     keep = [c for c in docs.columns if c.lower() not in ("base", "spans")]
     own = docs.select(*quoted(keep))
-    doc, key, told, plain = (fresh(docs, n) for n in ("term_doc", "term_key", "told", "base"))
-    terms = disclosing(docs.select("doc_id", "text"), p)
-    terms = stored(terms.select(F.col("doc.doc_id").alias(doc), F.col("doc.key").alias(key), F.col("told").alias(told)), "terms")
+    key, placed, plain = (fresh(docs, n) for n in ("term_key", "placed", "base"))
     text = F.coalesce("text", F.lit(""))
-    found = own.withColumn(plain, base_spans(text)).join(terms, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
-    placed = F.filter(matches(text, TERM, len(PATTERNS)), lambda t: F.array_contains(F.col(told), F.lower(t["value"])) & ~_overlaps(F.col(plain), t["start"], t["end"]))
-    every = F.when(F.col(told).isNull(), F.col(plain)).otherwise(F.array_sort(F.concat(plain, placed)))
+    terms = disclosing(docs.select(text.alias("text")), p).select(F.col("key").alias(key), F.col("placed").alias(placed))
+    found = own.withColumns({plain: base_spans(text), key: _key(text)}).join(terms, key, "left")
+    every = F.when(F.col(placed).isNull(), F.col(plain)).otherwise(F.array_sort(F.concat(plain, placed)))
     return found.select(*quoted(keep), F.col(plain).alias("base"), every.alias("spans"))
 
 
+#: Code points of the chunks from which parts of a text are taken.
+CHUNK = 512
+
+
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with each span generalised to the name of its kind in brackets; what overlaps goes with the earlier span."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    parts = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"])))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(parts)
+
+    def masked(chunks: Column) -> Column:
+        def part(low: Column, high: Column) -> Column:
+            first = F.floor(low / CHUNK).cast("int")
+            some = F.slice(chunks, first + 1, F.floor((high - 1) / CHUNK).cast("int") - first + 1)
+            return F.when(low < high, F.substring(F.array_join(some, ""), low - first * CHUNK + 1, high - low)).otherwise("")
+
+        def by_end(ends: Column) -> Column:  # the farthest end of each span and those before
+            at = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+            each = F.transform(spans, lambda s, i: F.when(s["start"] >= at(i), F.concat(part(at(i), s["start"]), F.get(names, s["kind"]))).otherwise(""))
+            return F.concat(F.array_join(each, ""), part(F.element_at(ends, -1), F.length(text)))
+
+        return _let(_running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x)), by_end)
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), masked))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the number of spans of each base kind, base_sha256 and spans of every document, a row each, as with_spans finds them.
+
+    Null and empty texts have no spans; repeated rows and null ids are rows of their own; other columns are not looked
+    at; a table without rows gives none.
+    """
     found = with_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", *(count(k) for k in range(len(PATTERNS))), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

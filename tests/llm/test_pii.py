@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -117,11 +118,71 @@ def test_told_terms_are_spans_throughout_the_document(spark):
     assert "zebulon " not in clean[2000].lower() and "quorra" not in clean[2001].lower()
 
 
+def brute_terms(rows, p=pii.PiiParams()):
+    """The told terms of each row, pair by pair, from counts over all rows."""
+    letters = lambda t: {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", re.sub(PLAIN["email"], lambda m: " " * len(m[0]), t))}
+    words = [letters(t or "") for _, t in rows]
+    held = [{(k, t[a:b].lower() if k == 0 else re.sub("[^0-9.]", "", t[a:b])) for a, k, b in brute(t)} for _, t in rows]
+    total, told = len(rows), [set() for _ in rows]
+    for e in set().union(*held):
+        own = [i for i, h in enumerate(held) if e in h]
+        weighed = sum(len(words[i]) for i in {rows[i][1]: i for i in own}.values())  # equal texts once
+        for w in set().union(*(words[i] for i in own)):
+            both, having = sum(w in words[i] for i in own), sum(w in x for x in words)
+            share, base, content = both / len(own), having / total, math.log(total / len(own))
+            if content <= 0 or share <= base or math.log(both * total / (len(own) * having)) < p.disclosure * content - 1e-12:
+                continue
+            rest = (1 - share) * math.log((1 - share) / (1 - base)) if share < 1 and base < 1 else 0
+            if len(own) * (share * math.log(share / base) + rest) >= math.log(weighed / p.chance):
+                for i in own:
+                    told[i] |= {w} & words[i]
+    return told
+
+
+def test_terms_equal_brute_force(spark):
+    r = random.Random(11)
+    name = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    people = [(name(), f"{name()}@mail.org", f"+1 {r.randrange(10**9, 10**10)}") for _ in range(25)]
+    rows = []
+    for i in range(500):
+        text = " ".join(f"w{r.choice('abcdefgh')}{r.choice('aeiou')}" for _ in range(r.randrange(5, 30)))
+        for who, mail, phone in r.sample(people, r.choice([0, 0, 0, 1, 1, 2])):
+            text += f" {who if r.random() < 0.8 else ''} {r.choice([mail, phone, mail + ' ' + phone])} {name() if r.random() < 0.3 else ''}"
+        rows.append((i, text))
+    rows += [(600 + i, rows[7][1]) for i in range(5)] + [rows[9], rows[9], (700, None), (None, "")]
+    want = sorted(map(str, zip([t or "" for _, t in rows], map(sorted, brute_terms(rows)))))
+    got = sorted(str((x.text or "", sorted({s.value.lower() for s in x.spans if s.kind == 4}))) for x in pii.with_spans(frame(spark, rows).repartition(4)).collect())
+    assert got == want and sum("[]" not in x for x in want) > 50
+
+
+def test_ten_thousand_entities_in_one_text(spark):
+    text = " ".join(f"Ann{i % 7} p{i}@mail.org, +1 {10**9 + i}" for i in range(5000))
+    x = pii.stage(spark, frame(spark, [(1, text), (2, "none here")]), "").where("doc_id = 1").first()
+    assert x.text == " ".join(f"Ann{i % 7} [EMAIL], [PHONE]" for i in range(5000))
+
+
 def test_overlapping_spans_are_masked(spark):
     row = spark.range(1).select(pii.sanitised(F.lit("abcdefgh"), F.expr("array(named_struct('start', 1, 'kind', 0, 'end', 4, 'value', ''), named_struct('start', 3, 'kind', 3, 'end', 6, 'value', ''))")).alias("x")).first()
     assert row.x == "a[EMAIL]gh"
 
 
+def test_long_texts_are_masked_at_every_chunk(spark):
+    r = random.Random(6)
+    spans, at = [], 0
+    while at < 5000:
+        a = at + r.choice([0, 1, 3, 500, 512, 513, 1100])
+        spans.append((a, r.randrange(5), a + r.choice([1, 5, 512, 600]), ""))
+        at = a + r.choice([0, 2, 600])
+    text = "".join(chr(r.choice([97, 233, 0x1F600])) for _ in range(spans[-1][2] + r.choice([0, 700])))
+    out, now = [], 0
+    for a, k, b, _ in spans:
+        if a >= now:
+            out += [text[now:a], f"[{pii.KINDS[k].upper()}]"]
+        now = max(now, b)
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,kind:int,end:int,value:string>>")
+    assert df.select(pii.sanitised(F.col("t"), F.col("s")).alias("x")).first().x == "".join(out) + text[now:]
+
+
 @pytest.mark.parametrize("name", ["odd", "clashing", "none"])
 def test_odd_tables(spark, name, request):
     docs = request.getfixturevalue(name)
