@@ -8,27 +8,34 @@
    its own, so that ids and positions are joined without a row for either.
 
 So a word that is in every document is a few bytes per block, not a row per position. Packs are never more than the distinct words of
-the blocks. Decoding joins the ids with the table of the vocabulary's bytes, which has as many rows as the vocabulary.
+the blocks. Rows are dealt to blocks one by one, so that equal rows spread, and blocks are named so that Spark's hash partitioning gives
+each a partition of its own. Decoding joins the ids with the table of the vocabulary's bytes, which has as many rows as the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
+import collections
 import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refrain.llm.common import as_bytes, batches, read, small_batches, with_computed
+from refrain.llm.shingles import mix64
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a block, on average.
 BLOCK = 16_000_000
+#: Different rows of a task whose repetitions are counted at once; some 100 bytes each.
+COUNTED = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -73,8 +80,26 @@ def newer_letters(ranks: dict[bytes, int], pattern: str) -> str:
     return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans)
 
 
+def spread(places: np.ndarray) -> np.ndarray:
+    """Integers whose Murmur3 hashes, as Spark deals rows by, are these places: the hash of one integer, undone step by step."""
+    h = places.astype(np.uint32)
+    times = lambda x, c: x * np.uint32(pow(c, -1, 1 << 32))
+    turned = lambda x, n: x >> np.uint32(n) | x << np.uint32(32 - n)
+    h ^= h >> np.uint32(16)
+    h = times(h, 0xC2B2AE35)
+    h ^= (h >> np.uint32(13)) ^ (h >> np.uint32(26))
+    h = times(h, 0x85EBCA6B)
+    h ^= h >> np.uint32(16)
+    h ^= np.uint32(4)  # bytes of an integer
+    h = turned(times(h - np.uint32(0xE6546B64), 5), 13) ^ np.uint32(42)  # Spark's seed
+    return times(turned(times(h, 0x1B873593), 15), 0xCC9E2D51).view(np.int32)
+
+
 def blocks(docs: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """block, doc_id and text (compressed) of documents, dealt by block, and to how many partitions."""
+    """block, doc_id and text (compressed) of documents, dealt by block, and to how many partitions.
+
+    A row's block is a hash of the row, of its task and of how many equal rows the task has met: the same whenever the task runs again.
+    """
     import zstandard
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -82,14 +107,23 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
     schema = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("text", pa.binary())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack, task = zstandard.ZstdCompressor(level=1).compress, np.uint64(TaskContext.get().partitionId())
+        names, met = spread(np.arange(n)), collections.Counter()
         for batch in stream:
+            if len(met) > COUNTED:
+                met.clear()
+            own = batch.column(0).to_numpy()
+            again = np.empty(len(own), np.uint64)
+            for i, x in enumerate(own.tolist()):
+                again[i] = met[x]
+                met[x] += 1
+            block = names[(mix64(own.view(np.uint64) + mix64(task << np.uint64(40) | again)) % np.uint64(n)).astype(np.int64)]
             texts = pa.array((pack(t.as_py()) for t in batch.column(2)), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(block), batch.column(1), texts], schema=schema)
 
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("bigint"), as_bytes("text"))
+    own = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("bigint"), as_bytes("text"))
     to = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return small_batches(dealt).mapInArrow(run, "block int, doc_id bigint, text binary").repartition(to, "block"), to
+    return small_batches(own).mapInArrow(run, "block int, doc_id bigint, text binary").repartition(to, "block"), to
 
 
 def _texts(rows: Iterable[tuple[int | None, bytes]]) -> list[tuple[int | None, bytes]]:
@@ -139,22 +173,21 @@ def distinct_words(dealt: DataFrame, parts: int, pattern: str, newer: str) -> Da
     return dealt.sortWithinPartitions("block").mapInArrow(run, "block int, part int, pack binary")
 
 
-def encoded_words(words: DataFrame, parts: int, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encoded_words(words: DataFrame, parts: int, ranks: dict[bytes, int]) -> DataFrame:
     """block, part and answer: the number of ids of each word of a pack, then the ids. A part, all in one task, encodes a word once."""
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("answer", pa.binary())])
     table = words.sparkSession.sparkContext.broadcast(ranks)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         import tiktoken
         import zstandard
 
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})._core_bpe.encode_single_piece
+        whole = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=table.value, special_tokens={})  # a word is one piece
         pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
         class Known(dict):
             def __missing__(self, word: bytes) -> bytes:
-                self[word] = found = np.array(encode(word), "<u4").tobytes()
+                self[word] = found = whole.encode_to_numpy(word.decode(), disallowed_special=()).astype("<u4").tobytes()
                 return found
 
         known = Known()
@@ -175,16 +208,16 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = BLOCK) -> DataF
     """doc_id and ids (little-endian unsigned 32-bit) of documents (doc_id, text).
 
     The ids are those that tiktoken's encode_ordinary finds with the same ranks and pattern. Null and empty texts have none. Every row
-    has a row, also those with a null doc_id, or one that others have too. Other columns are not looked at.
+    has a row, also those with a null doc_id, or one that others have too. Other columns are not looked at. A text is encoded whole,
+    within one block, however long; a table without rows gives none.
     """
     ranks = load_ranks(path)
     newer = newer_letters(ranks, pattern)
     dealt, parts = blocks(docs.select("doc_id", "text"), size)
-    answers = encoded_words(distinct_words(dealt, parts, pattern, newer), parts, ranks, pattern)
+    answers = encoded_words(distinct_words(dealt, parts, pattern, newer), parts, ranks)
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def assemble(texts: pa.Table, table: pa.Table) -> pa.Table:
-        import numpy as np
         import zstandard
 
         splitter, unpack = Splitter(pattern, newer), zstandard.ZstdDecompressor().decompress
@@ -220,7 +253,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     words = encoded.sparkSession.sparkContext.broadcast(table)
 
     def decoder() -> Callable[[pa.Array], pa.Array]:
-        import numpy as np
 
         word_of = words.value.__getitem__
         return lambda ids: pa.array((b"".join(map(word_of, np.frombuffer(x.as_py(), "<u4").tolist())) for x in ids), pa.binary())
@@ -229,6 +261,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, a row each, as encode and decode make them.
+
+    Null and empty texts have no ids; repeated rows and null ids are rows of their own; other columns are not looked at;
+    a table without rows gives none.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)

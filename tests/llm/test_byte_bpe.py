@@ -39,6 +39,18 @@ def test_query_equals_tiktoken(spark, plain):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
 
 
+def test_blocks_have_a_partition_each(spark):
+    names = b.spread(np.arange(1875))
+    dealt = spark.createDataFrame([(int(x),) for x in names], "block int").repartition(1875, "block")
+    assert [len(part) for part in dealt.rdd.glom().collect()] == [1] * 1875
+
+
+def test_equal_rows_are_dealt_to_all_blocks(spark):
+    dealt, parts = b.blocks(frame(spark, [(7, "the same text again")] * 4000).repartition(4), 19 * 500)
+    sizes = [r[1] for r in dealt.groupBy("block").count().collect()]
+    assert parts == 8 and len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+
+
 def test_odd_tables(none, clashing):
     path = P.path(b.VOCABULARY)
     assert b.decode(b.encode(none, path, P.PATTERN), path).collect() == []
