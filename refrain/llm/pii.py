@@ -160,10 +160,9 @@ def disclosing(docs: DataFrame, p: PiiParams) -> DataFrame:
     """
     found = docs.withColumn("spans", base_spans(F.col("text"))).where("size(spans) > 0")
     found = found.select(_key(F.col("text")).alias("key"), F.array_distinct(F.transform("spans", _entity)).alias("entities"), _without_emails(F.col("text")).alias("rest"))
-    found = found.select("key", "entities", matches(F.col("rest"), TERM, len(PATTERNS)).alias("terms"))
-    held = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "held")
-    words = held.select("key", "n", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term"))
-    sized = held.select("key", "n", "entities", F.size(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("words"))
+    held = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("rest").alias("rest")), "held")
+    words = held.select("key", "n", F.explode(_words(F.col("rest"))).alias("term"))
+    sized = held.select("key", "n", "entities", F.size(_words(F.col("rest"))).alias("words"))
     kinds, members = classes(stored(sized.select("key", "n", "words", F.explode("entities").alias("entity")), "holding"))
     counted = docs.select(F.explode(_words(_without_emails(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     total = docs.agg(F.count("*").alias("total"))
@@ -174,7 +173,8 @@ def disclosing(docs: DataFrame, p: PiiParams) -> DataFrame:
     both = met.groupBy("class", "term", "with_entity", "with_term", "weighed", "total").agg(F.sum("n").alias("both"))
     told = stored(both.where(_tells(F.col("both"), p)).select("class", "term"), "told")
     chosen = met.select("class", "term", "key").join(told, ["class", "term"]).select("key", "term").distinct()
-    each = held.join(chosen.select("key").distinct(), "key", "left_semi").select("key", F.explode("terms").alias("t")).withColumn("term", F.lower("t.value"))
+    chosen = stored(chosen, "chosen")
+    each = held.join(chosen.select("key").distinct(), "key", "left_semi").select("key", F.explode(matches(F.col("rest"), TERM, len(PATTERNS))).alias("t")).withColumn("term", F.lower("t.value"))
     return stored(each.join(chosen, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("placed")), "placed")
 
 
