@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -21,7 +22,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a folder of its own.
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine (a local master) a folder of its own, which
+    is then set for the session.
 
     On a cluster that names none this raises, as a local folder would be lost with its executor.
     """
@@ -35,16 +37,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder. What is there when the program ends goes with it."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _left.add(path)
+    return path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage ends here."""
-    path = new_path(df.sparkSession, what)
+    return _at(df, new_path(df.sparkSession, what))
+
+
+def _at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables that are dropped as soon as those made from them are stored too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, what))
+        return _at(df, self.paths[-1])
+
+    def drop(self) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
+
+
+#: Paths in shared folders that this program has made and not yet deleted.
+_left: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _left.discard(path)
+
+
+def _sweep() -> None:
+    spark = SparkSession.getActiveSession() if _left else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in list(_left):
+            _delete(spark, path)
+
+
+atexit.register(_sweep)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df; from now on the session hands Python at most 8 MB at once (or less, where that is set), so that long texts don't add up."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

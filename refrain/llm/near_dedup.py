@@ -5,12 +5,14 @@
 2. Documents with equal sets are one class, represented by its least id. Hot copies end here, by a partial aggregation.
 3. In each band's bucket, the representatives are joined with the least of them. The components of these stars are the
    candidate clusters: two representatives that share any bucket are in one cluster.
+   Their texts are fetched once more: a Bloom filter of bounded size keeps most others out of the shuffle.
 4. Within a cluster all pairs are compared on whole sets. Small clusters are a task's work. Of a large one, every member
    is first compared with one pivot, the leader of most stars: those linked with it need no comparison among themselves,
    and, as the Jaccard distance is a metric, no link joins members whose distances from the pivot differ by more than
-   the threshold. The others are dealt by that distance in rings and blocks, and only blocks that a link may join meet,
-   each two in a task of their own. So no task holds more than two blocks, a group whose members are near its pivot
-   costs as much as it has rows, and per task only a spanning forest of the links is returned, never the pairs.
+   the threshold, nor any whose sizes differ by more. The others are dealt by distance and size in rings and blocks, and
+   only blocks that a link may join meet, each two in a task of their own. So no task holds more than two blocks of bounded
+   members and bytes (a single set is never split), a group whose members are near its pivot costs as much as it has
+   rows, and per task only a spanning forest of the links is returned, never the pairs.
 5. The components of the links are the result.
 
 With 50 bands of 6 rows, a pair of similarity 0.8 shares no bucket with a probability of (1 - 0.8 ** 6) ** 50 = 3e-7.
@@ -19,6 +21,7 @@ With 50 bands of 6 rows, a pair of similarity 0.8 shares no bucket with a probab
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,20 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.common import as_bytes, batches, quoted, read, small_batches, stored
+from refrain.llm import bloom
+from refrain.llm.common import Scratch, as_bytes, batches, quoted, read, small_batches, stored
 from refrain.llm.components import components
 from refrain.llm.shingles import ODD, WordHashes, mix64, shingle_set, signature
 
 
 @dataclass(frozen=True)
 class NearParams:
-    """width: words of a shingle. Link: 100 * intersection >= percent * union. block: members of a cluster that a task holds, or twice as many."""
+    """width: words of a shingle. Link: 100 * intersection >= percent * union. block, block_bytes: members of a cluster, and bytes of
+    their sets, that a task holds, or twice as many."""
 
     width: int = 5
     percent: int = 80
     bands: int = 50
     rows: int = 6
     block: int = 192
+    block_bytes: int = 16_000_000
 
 
 def band_keys(found: np.ndarray, p: NearParams) -> list[int]:
@@ -103,11 +109,12 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
     member, column = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(column, kind="stable")
     member, column = member[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64  # counts up to that are exact
+    common = np.zeros((len(sets), len(sets)), kind)
     width = 8192
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         part = slice(*np.searchsorted(column, [low, low + width]))
-        part_of = np.zeros((len(sets), width), np.float32)
+        part_of = np.zeros((len(sets), width), kind)
         part_of[member[part], column[part] - low] = 1
         common += part_of @ part_of.T
     common = common.astype(np.int64)
@@ -187,24 +194,33 @@ def _from_pivot(large: DataFrame, pivots: DataFrame, p: NearParams) -> DataFrame
     return dealt.mapInArrow(run, "cluster bigint, id bigint, found binary, pivot bigint, distance double, linked boolean")
 
 
-def _large_links(large: DataFrame, stars: DataFrame, p: NearParams) -> DataFrame:
+def _blocks(members, sizes, p: NearParams):
+    """Blocks for so many members of sets with so many shingles."""
+    return F.greatest(F.ceil(members / p.block), F.ceil(sizes * 8 / p.block_bytes)).cast("int")
+
+
+def _large_links(large: DataFrame, stars: DataFrame, p: NearParams, scratch: Scratch) -> DataFrame:
     """Links (a, b) among the members of large clusters (cluster, blocks, id, found)."""
     leaders = stars.groupBy(F.col("b").alias("pivot")).agg(F.count("*").alias("n"))
     pivots = leaders.join(large.select("cluster", F.col("id").alias("pivot")).distinct(), "pivot").groupBy("cluster").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    placed = stored(_from_pivot(large, stored(pivots, "pivots"), p), "placed")
+    placed = scratch.stored(_from_pivot(large, scratch.stored(pivots, "pivots"), p), "placed")
     reach = 1 - p.percent / 100
-    inner, width = 4, reach / 4
+    inner, width = 4, max(reach / 4, 1e-6)
     # rings of a quarter of the threshold: 0 to 3 are linked with the pivot, the others are not
     ring = F.when(F.col("linked"), F.least(F.floor(F.col("distance") / width), F.lit(inner - 1))).otherwise(F.greatest(F.floor(F.col("distance") / width), F.lit(inner)))
-    ringed = placed.withColumn("ring", ring.cast("int"))
-    counts = ringed.groupBy("cluster", "ring").agg(F.ceil(F.count("*") / p.block).cast("int").alias("subs"))
-    rings = stored(counts.groupBy("cluster").agg(F.collect_list(F.struct("ring", "subs")).alias("rings")), "rings")  # a few numbers for each large cluster
-    met = ringed.select("cluster", "id", "found", "ring").join(rings, "cluster")
-    met = met.withColumn("sub", F.expr("pmod(xxhash64(id), element_at(map_from_entries(rings), ring))"))
+    # sizes by powers of the threshold: linked sets are of the same class or of neighbouring ones
+    size = F.floor(F.log(F.octet_length("found") / 8) / max(-math.log(p.percent / 100) * 1.000001, 1e-3))
+    ringed = placed.withColumns({"ring": ring.cast("int"), "size": size.cast("int")})
+    counts = ringed.groupBy("cluster", "ring", "size").agg(_blocks(F.count("*"), F.sum(F.octet_length("found") / 8), p).alias("subs"))
+    rings = scratch.stored(counts.groupBy("cluster").agg(F.collect_list(F.struct("ring", "size", "subs")).alias("rings")), "rings")  # some hundred numbers for each large cluster
+    met = ringed.select("cluster", "id", "found", "ring", "size").join(rings, "cluster")
+    own = F.get(F.filter("rings", lambda r: (r["ring"] == F.col("ring")) & (r["size"] == F.col("size"))), F.lit(0))
+    met = met.withColumn("sub", F.pmod(F.xxhash64("id"), own["subs"]))
     # one ring more than the threshold, as rings have width
-    far = F.filter("rings", lambda r: (F.abs(r["ring"] - F.col("ring")) <= inner + 1) & ((r["ring"] >= inner) | (F.col("ring") >= inner)))
+    far = F.filter("rings", lambda r: (F.abs(r["ring"] - F.col("ring")) <= inner + 1) & ((r["ring"] >= inner) | (F.col("ring") >= inner)) & (F.abs(r["size"] - F.col("size")) <= 1))
     met = met.withColumn("to", F.explode(far)).withColumn("to_sub", F.explode(F.expr("sequence(0, to.subs - 1)")))
-    here, there = F.col("ring") * (1 << 32) + F.col("sub"), F.col("to.ring") * (1 << 32) + F.col("to_sub")
+    code = lambda r, z, sub: (r.cast("bigint") * (1 << 16) + z) * (1 << 32) + sub
+    here, there = code(F.col("ring"), F.col("size"), F.col("sub")), code(F.col("to.ring"), F.col("to.size"), F.col("to_sub"))
     links = _links(met.select("cluster", F.least(here, there).alias("p"), F.greatest(here, there).alias("q"), "id", "found"), p)
     return links.unionByName(placed.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
@@ -214,30 +230,42 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
 
     Null and empty texts have no shingles and are linked with nothing. Rows that share a doc_id are one document, linked
     with whatever any of its texts is linked with. A null doc_id is linked with nothing: its component is null and it is
-    not kept. Columns other than doc_id and text are not looked at. A table without rows gives none.
+    not kept. Columns other than doc_id and text are not looked at. A table without rows gives none. Texts are taken whole; the set of
+    one text must fit a task.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    scratch = Scratch(docs.sparkSession)
     found = stored(sketches(docs, p), "sketches")
-    classes = stored(found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands")).where("id is not null"), "classes")
+    same = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = scratch.stored(same.where("id is not null"), "classes")
     keys = classes.select(F.explode("bands").alias("key"), "id")
-    leaders = stored(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last"), "leaders")
-    stars = stored(keys.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
-    rest = components(stars)
+    leaders = scratch.stored(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last"), "leaders")
+    stars = scratch.stored(keys.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
+    rest = components(stars, scratch)
     clusters = rest.unionByName(rest.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "cluster")
-    sizes = stored(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "sizes")
-    members = stored(clusters.join(sizes, "cluster").select("id", "cluster", "blocks"), "members")
-    texts = members.join(docs.withColumnRenamed("doc_id", "id").hint("merge"), "id").select("cluster", "blocks", "id", "text")
-    sets = stored(_with_sets(texts, p), "sets")
+    weighed = clusters.join(classes.groupBy("id").agg(F.sum("n_shingles").alias("w")), "id")
+    sizes = scratch.stored(weighed.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("w"), p).alias("blocks")), "sizes")
+    members = scratch.stored(clusters.join(sizes, "cluster").select("id", "cluster", "blocks"), "members")
+    n = min(bloom.blocks_for(members.count()), bloom.MOST_BLOCKS)
+    wanted = bloom.possible(docs.withColumnRenamed("doc_id", "id"), F.col("id"), scratch.stored(bloom.filter_of(members, F.col("id"), n), "filter"), n)
+    texts = members.join(wanted.hint("merge"), "id").select("cluster", "blocks", "id", "text")
+    sets = scratch.stored(_with_sets(texts, p), "sets")
     links = _links(sets.where("blocks = 1").select("cluster", F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q"), "id", "found"), p)
     if not sizes.where("blocks > 1").isEmpty():
-        links = links.unionByName(_large_links(sets.where("blocks > 1"), stars, p))
-    linked = components(links)
+        links = links.unionByName(_large_links(sets.where("blocks > 1"), stars, p, scratch))
+    linked = components(links, scratch)
     moved = stored(classes.select("set_key", "id", "n").join(linked, "id", "left").where("n > 1 or component is not null").select("set_key", F.coalesce("component", "id").alias("component")), "moved")
-    same = found.select("doc_id", "n_shingles", "set_key").join(moved, "set_key", "left")
-    return same.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(False)))
+    scratch.drop()
+    named = found.select("doc_id", "n_shingles", "set_key").join(moved, "set_key", "left")
+    return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(False)))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document, a row each, as near_duplicates finds them with 4-word shingles.
+
+    Null and empty texts have no shingles and are linked with nothing; repeated rows are one document with a row each; of a
+    group the least doc_id is kept; other columns are not looked at; a table without rows gives none.
+    """
     return near_duplicates(read(spark, sf_dir, "documents"), NearParams(width=4))
 
 

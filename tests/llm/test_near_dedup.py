@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from refrain.llm import near_dedup, shingles
+from refrain.llm.common import Scratch
 from refrain.llm.components import components
 from refrain.llm.near_dedup import NearParams
 
@@ -56,6 +57,39 @@ def test_families_equal_brute_force(spark):
     check(spark, rows, NearParams(width=4, block=16))  # clusters of several blocks
 
 
+def test_a_large_cluster_whose_members_are_far_from_its_pivot(spark):
+    """A chain: neighbours are linked, the ends share no shingle, so that most members are far from any pivot."""
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(4000)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(400)]  # 89 of 105 shingles of 4 words with the next one
+    rows += [(1000 + i, " ".join(words[8 * i : 8 * i + 100 - 25 * (i % 3)])) for i in range(0, 400, 3)]  # and sizes that part
+    r.shuffle(rows)
+    check(spark, rows, NearParams(width=4, block=24))  # some 22 blocks
+    check(spark, rows[:150], NearParams(width=4, block_bytes=8 * 97 * 20))
+
+
+def test_recall_of_the_query(spark):
+    """Every link among all pairs of documents joins their components."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r.doc_id: r for r in near_dedup.op3_near_dedup(spark, sf).collect()}
+    sets = {}
+    for r in rows:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "").encode().split()
+        sets[r.doc_id] = {tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))} if words else set()
+    assert {i: x.n_shingles for i, x in got.items()} == {i: len(x) for i, x in sets.items()}
+    pairs = [(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(pairs) > 50 and all(got[i].component_id == got[j].component_id for i, j in pairs)
+
+
+def test_tables_of_a_run_are_dropped(spark):
+    from refrain.llm import common
+
+    before = set(common._left)
+    near_dedup.near_duplicates(frame(spark, family(random.Random(1), 60, 40, 4, 0)), NearParams(width=4, block=16)).collect()
+    assert {x.rpartition("/")[2].partition("-")[0] for x in common._left - before} == {"sketches", "moved"}
+
+
 def test_odd_rows_and_ties(spark):
     check(spark, ODD + [(20, "ONE TWO"), (21, "a b c d e f g h i j"), (22, "a b c d e f g h i j")], NearParams(width=5))
 
@@ -84,6 +118,6 @@ def test_signatures_estimate_the_similarity():
 
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
-    got = {(r.id, r.component) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {(r.id, r.component) for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
     assert got == {(i, 0) for i in range(1, 51)} | {(101, 100)}
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark)).collect() == []
