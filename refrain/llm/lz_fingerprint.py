@@ -8,6 +8,7 @@ the Jaccard similarity of the phrase sets.
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import json
 import math
@@ -26,6 +27,9 @@ SLOTS = 64
 EMPTY = 0xFFFFFFFF
 #: Bytes of text in a bucket of neighbouring documents, on average.
 BUCKET = 8_000_000
+#: Buckets at most; beyond 400 GB of text they become larger instead.
+MOST_BUCKETS = 50_000
+LOWEST = -(1 << 63)
 
 
 class Phrases:
@@ -93,48 +97,62 @@ def fingerprint(text: bytes) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs, with the fingerprint of the text. Null and empty texts have one of empty slots; equal texts have equal ones."""
+    """docs, with the fingerprint of the text; a column of that name is replaced. Null and empty texts have one of empty slots; equal texts have equal ones.
+    Texts are parsed whole; a table without rows gives none."""
+
     def printer() -> Callable[[pa.Array], pa.Array]:
         return lambda texts: pa.array((text_of(fingerprint(t.as_py())) for t in texts), pa.string())
 
     return with_computed(docs, "text", "fingerprint", T.StringType(), printer)
 
 
-def _bucket(cuts: list[int]) -> Column:
-    """How many of the cuts doc_id has reached: by groups of cuts first, then within one."""
+def _cuts(quantiles: list[int], unnamed: int) -> list[tuple[int | None, int]]:
+    """Where buckets begin, as (doc_id, hash of the text): at each quantile, and within an id that several quantiles share, or in the
+    `unnamed` buckets of rows without an id, at even steps of the hash."""
+    steps = lambda m: [LOWEST + j * (1 << 64) // m for j in range(1, m)]
+    found: list[tuple[int | None, int]] = [(None, h) for h in steps(unnamed)]
+    if unnamed:
+        found.append((LOWEST, LOWEST))
+    for i, m in sorted(collections.Counter(quantiles).items()):
+        found += [(i, LOWEST), *((i, h) for h in steps(m))]
+    return sorted(set(found), key=lambda c: (c[0] is not None, c[0] or 0, c[1]))
+
+
+def _bucket(cuts: list[tuple[int | None, int]]) -> Column:
+    """How many of the cuts (doc_id, hash) has reached: by groups of cuts first, then within one."""
     width = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    firsts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
-    inner = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
-    reached = lambda cs: F.size(F.filter(cs, lambda c: c <= F.col("doc_id")))
+    rows = [{"i": i, "h": h} for i, h in cuts]
+    groups = [rows[i : i + width] for i in range(0, len(rows), width)]
+    firsts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<struct<i:bigint,h:bigint>>")
+    inner = F.from_json(F.lit(json.dumps(groups)), "array<array<struct<i:bigint,h:bigint>>>")
+    reached = lambda cs: F.size(F.filter(cs, lambda c: c <= F.struct(F.col("doc_id").alias("i"), F.col("hash").alias("h"))))
     group = reached(firsts)
     return F.when(group == 0, 0).otherwise((group - 1) * width + reached(F.get(inner, group - 1)))
 
 
-def with_next(docs: DataFrame, size: int = BUCKET) -> DataFrame:
-    """doc_id, text, bucket and head of documents, dealt by bucket and in order (doc_id, then text; nulls first), so that in each bucket every
-    document is followed by the next one of all, the last of all by the first. Rows with head 1 are copies of another
-    bucket's first document.
+def with_next(docs: DataFrame, size: int = BUCKET, most: int = MOST_BUCKETS) -> DataFrame:
+    """doc_id, text, bucket and head of documents, dealt by bucket and in order (doc_id, nulls first, then a hash of the text, then the text), so that in
+    each bucket every document is followed by the next one of all, the last of all by the first. Rows with head 1 are
+    copies of another bucket's first document.
 
-    Buckets are ranges of doc_id between quantiles of some `size` bytes. The driver gets one id for each bucket.
+    Buckets are ranges of (doc_id, hash) between quantiles of some `size` bytes, or more where there would be over `most` of them; rows that share
+    an id are split like others. The driver gets a pair of numbers for each bucket, so the bound holds there too. Null texts are empty, a
+    table without rows gives none, and other columns are not looked at.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, -(-int(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // size))
-    cuts = own.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], min(20 * n, 1_000_000))).first()[0] if n > 1 else None
-    placed = own.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(sorted(set(cuts)))) if cuts else F.lit(0))
-    firsts = sorted((row[0], row[1]) for row in placed.where("doc_id is not null").groupBy("bucket").agg(F.min("doc_id")).collect())
-    unnamed = own.where("doc_id is null").agg(F.min("text")).first()[0]
-    spark = docs.sparkSession
-    heads = [(of, bucket) for (bucket, _), (_, of) in zip(firsts, firsts[1:], strict=False)]
-    last = firsts[-1][0] if firsts else 0
-    if unnamed is None and firsts:
-        heads.append((firsts[0][1], last))
-    wanted = spark.createDataFrame(heads, "of bigint, bucket int")
-    follow = own.join(F.broadcast(wanted), F.col("doc_id") == F.col("of")).groupBy("bucket").agg(F.min("of").alias("doc_id"), F.min("text").alias("text"))
-    if unnamed is not None:
-        follow = follow.unionByName(spark.createDataFrame([(last, None, unnamed)], "bucket int, doc_id bigint, text string"))
-    every = placed.withColumn("head", F.lit(0)).unionByName(follow.withColumn("head", F.lit(1)))
-    return every.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "head", "doc_id", "text")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    bytes_ = F.octet_length("text").cast("bigint")
+    every, unnamed = (int(x or 0) for x in own.agg(F.sum(bytes_), F.sum(F.when(F.col("doc_id").isNull(), bytes_))).first())
+    size = max(size, -(-every // most))
+    n = max(1, -(-(every - unnamed) // size))
+    quantiles = own.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    cuts = _cuts(quantiles or [], -(-unnamed // size))
+    placed = own.withColumn("bucket", _bucket(cuts) if cuts else F.lit(0))
+    firsts = sorted((r[0], r[1]) for r in placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "hash"))).collect())
+    heads = [(bucket, of[0], of[1]) for (bucket, _), (_, of) in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
+    wanted = docs.sparkSession.createDataFrame(heads, "bucket int, of bigint, by bigint")  # as many rows as buckets
+    met = own.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("by")))
+    follow = met.groupBy("bucket", "doc_id", "hash").agg(F.min("text").alias("text"), F.lit(1).alias("head"))
+    return placed.withColumn("head", F.lit(0)).unionByName(follow).repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "head", "doc_id", "hash", "text")
 
 
 def edited_likeness(ordered: DataFrame) -> DataFrame:
@@ -166,4 +184,10 @@ def edited_likeness(ordered: DataFrame) -> DataFrame:
 
 
 def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document, a row each.
+
+    Null and empty texts have no phrases, and are alike to each other; of rows that share an id that with the smaller hash of
+    its text comes first; the only document is followed by itself; texts are parsed whole; other columns are not looked
+    at; a table without rows gives none.
+    """
     return edited_likeness(with_next(read(spark, sf_dir, "documents")))

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -45,9 +46,11 @@ def test_likeness_follows_the_phrase_sets():
 
 
 def expected(rows):
-    order = sorted([(i is not None, i or 0, (t or "").encode(), t or "", i) for i, t in rows], key=lambda x: x[:3])
+    code = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63) & (1 << 64) - 1  # signed numbers in order
+    order = sorted((i is not None, i or 0, code(t or ""), t or "") for i, t in rows)
     out = collections.Counter()
-    for k, (_, _, _, text, i) in enumerate(order):
+    for k, (named, i, _, text) in enumerate(order):
+        i = i if named else None
         half, after = len(text) // 2, order[(k + 1) % len(order)][3]
         edited = text[: len(text) - half] + after[:half]
         like = z.likeness(z.fingerprint(text.encode()), z.fingerprint(edited.encode()))
@@ -64,6 +67,31 @@ def test_next_documents_across_buckets(spark):
         assert got == expected(rows)
 
 
+def test_rows_that_share_an_id_are_split(spark):
+    r = random.Random(5)
+    text = lambda: "".join(r.choice("abé ") for _ in range(r.randrange(60)))
+    rows = [(7, text()) for _ in range(200)] + [(None, text()) for _ in range(150)] + [(i, text()) for i in range(100)] + [(7, "same")] * 20
+    df = z.with_next(frame(spark, rows).repartition(5), 500)
+    sizes = collections.Counter((x.doc_id, x.bucket) for x in df.where("head = 0").collect())
+    assert sum(i == 7 for i, _ in sizes) > 5 and sum(i is None for i, _ in sizes) > 5
+    got = collections.Counter((x.doc_id, x.n_chars, x.edited_sha256, x.fingerprint, round(x.near_edited, 9), round(x.near_next, 9)) for x in z.edited_likeness(df).collect())
+    assert got == expected(rows)
+
+
+def test_buckets_are_bounded(spark):
+    rows = [(i, "some text") for i in range(500)]
+    df = z.with_next(frame(spark, rows).repartition(3), 9, 20)
+    assert df.select("bucket").distinct().count() <= 21
+    assert z.edited_likeness(df).count() == 500
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = collections.Counter((x.doc_id, x.n_chars, x.edited_sha256, x.fingerprint, round(x.near_edited, 9), round(x.near_next, 9)) for x in z.op7_lz_fingerprint(spark, sf).collect())
+    assert got == expected(rows)
+
+
 def test_odd_tables(spark, odd, none, clashing):
     assert z.edited_likeness(z.with_next(none)).collect() == [] and z.fingerprints(none).collect() == []
     found = z.fingerprints(clashing)
