@@ -51,20 +51,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500))))
 
 
-def features(text: bytes, known: WordHashes, bits: int) -> np.ndarray:
-    """Distinct columns of the n-grams of a text."""
+def features(text: bytes, known: WordHashes, bits: int, repeats: bool = True) -> np.ndarray:
+    """Distinct columns, ascending, of the n-grams of a text. repeats: with the two columns of words that follow themselves."""
     words = known.of(text.split())
     raw = np.frombuffer(text, np.uint8).astype(np.uint64)
     two = raw[:-1] << np.uint64(8) | raw[1:]
     parts = [words, mix64(words[:-1] * ODD + words[1:]), two + np.uint64(1 << 40), (two[:-1] << np.uint64(8) | raw[2:]) + np.uint64(1 << 41)]
-    hit = np.zeros(1 << bits, bool)
-    shift = np.uint64(64 - bits)
-    for part in parts:
-        hit[(part * ODD ^ part * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(29)) * ODD >> shift] = True
-    hit[2:4] |= hit[:2]
+    every = np.concatenate(parts)
+    columns = (every * ODD ^ every * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(29)) * ODD >> np.uint64(64 - bits)
+    if 32 * len(columns) < 1 << bits:
+        columns = np.unique(columns).astype(np.int32)
+    else:  # long texts: a mark for each column
+        hit = np.zeros(1 << bits, bool)
+        hit[columns] = True
+        columns = np.flatnonzero(hit).astype(np.int32)
+    if not repeats:
+        return columns
+    columns = np.unique(np.where(columns < 2, columns + 2, columns)) if len(columns) and columns[0] < 2 else columns
     same = words[1:] == words[:-1]
-    hit[0], hit[1] = same.any(), (same[1:] & same[:-1]).any()  # columns of their own
-    return np.flatnonzero(hit).astype(np.int32)
+    own = [i for i, found in enumerate((same.any(), (same[1:] & same[:-1]).any())) if found]  # columns of their own
+    return np.concatenate([np.array(own, np.int32), columns]) if own else columns
 
 
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, p: ClassifierParams) -> np.ndarray:
@@ -145,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, p: ClassifierParams = ClassifierPa
     """Model of labels (doc_id, label) for documents (doc_id, text).
 
     Labels that are null, neither 0 nor 1, or held out by their doc_id are not read. A document with several labels counts once
-    with each. The rows of the sample meet the documents by a broadcast, whose size `sample` bounds.
+    with each. The rows of the sample, which are chosen by a hash of their doc_id, meet the documents by a broadcast, whose size `sample` bounds.
+    Null and empty texts have no n-grams; without rows the model gives 1/2.
     """
     wanted = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "label").distinct()
     some = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(p.sample).select(F.col("doc_id").alias("of"), F.col("label").cast("int"))
@@ -176,7 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, p: ClassifierParams = ClassifierPa
 
 
 def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs, with the score of the text; null and empty texts have that of a document without n-grams."""
+    """docs, with the score of the text (a column of that name is replaced); null and empty texts have that of a document without n-grams.
+
+    Equal texts have equal scores; texts are read whole; other columns stay, under any names; a table without rows gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scorer() -> Callable[[pa.Array], pa.Array]:
@@ -191,6 +201,11 @@ def _model(spark: SparkSession, docs: DataFrame, sf_dir: str, p: ClassifierParam
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, a row each.
+
+    Null and empty texts score as documents without n-grams; a null doc_id is not held out; repeated rows are scored each;
+    other columns are never read; a table without rows gives none.
+    """
     p = ClassifierParams()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = scores(docs, _model(spark, docs, sf_dir, p))

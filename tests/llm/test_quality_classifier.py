@@ -58,6 +58,61 @@ def test_stage_keeps_columns(spark, clashing, none):
     assert c.scores(none, c.fit([], np.array([]))).collect() == []
 
 
+def plain_columns(text, bits):
+    """The columns by the definition, in whole numbers of Python."""
+    import hashlib
+
+    most = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & most
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & most
+        return x ^ x >> 31
+
+    odd = 0x9E3779B97F4A7C15
+    words = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in text.split()]
+    grams = words + [mix((a * odd + b) & most) for a, b in zip(words, words[1:])]
+    grams += [(a << 8 | b) + (1 << 40) for a, b in zip(text, text[1:])] + [(a << 16 | b << 8 | d) + (1 << 41) for a, b, d in zip(text, text[1:], text[2:])]
+    found = {(((g * odd & most) ^ (g * 0xD6E8FEB86659FD93 & most) >> 29) * odd & most) >> (64 - bits) for g in grams}
+    found = {c + 2 if c < 2 else c for c in found}
+    same = [a == b for a, b in zip(words, words[1:])]
+    return sorted(found | ({0} if any(same) else set()) | ({1} if any(a and b for a, b in zip(same, same[1:])) else set()))
+
+
+@pytest.mark.parametrize("bits", [6, 12, 18])
+def test_columns_equal_the_definition(bits):
+    for text in (b"", b"a", b"a a", b"a a a b", "né tout ## né".encode(), b"x y " * 4000, bytes(range(256)) * 300):
+        assert c.features(text, WordHashes(), bits).tolist() == plain_columns(text, bits)
+
+
+def test_the_fit_equals_a_plain_version():
+    """Ratios, dual descent and scores in loops over single numbers, in the same order of rows."""
+    r = np.random.default_rng(7)
+    p = c.ClassifierParams(bits=5, epochs=4, folds=2)
+    rows = [np.unique(r.integers(0, 32, 6)).astype(np.int32) for _ in range(40)]
+    labels = np.array([float(3 in x or 7 in x) for x in rows])
+    count = {q: [p.alpha + sum(q == y and j in x for x, y in zip(rows, labels)) for j in range(32)] for q in (0, 1)}
+    ratios = [np.log(count[1][j] / sum(count[1]) / (count[0][j] / sum(count[0]))) for j in range(32)]
+    assert np.allclose(c.log_count_ratios(rows, labels, p), ratios)
+    weights, bias, dual = [0.0] * 32, 0.0, [0.0] * 40
+    order = np.random.default_rng(0)
+    share = labels.mean()
+    for _ in range(p.epochs):
+        for i in order.permutation(40):
+            sign, x = (1 if labels[i] else -1), {int(j): ratios[j] / len(rows[i]) ** 0.5 for j in rows[i]}
+            slope = sign * (sum(weights[j] * v for j, v in x.items()) + bias) - 1
+            new = min(max(dual[i] - slope / (sum(v * v for v in x.values()) + 1), 0), 0.5 * p.c / (share if labels[i] else 1 - share))
+            for j, v in x.items():
+                weights[j] += (new - dual[i]) * sign * v
+            bias, dual[i] = bias + (new - dual[i]) * sign, new
+    got, own = c.descend(rows, labels, np.array(ratios), p)
+    assert np.allclose(got, weights) and np.isclose(own, bias)
+    model = c.fit(rows, labels, p)
+    assert np.allclose(model.weights, np.array(weights) * ratios, atol=1e-6)
+    margin = sum(weights[j] * ratios[j] for j in rows[0]) / len(rows[0]) ** 0.5 + bias
+    assert np.isclose(model.score(rows[0]), 1 / (1 + np.exp(-(model.slope * margin + model.shift))), atol=1e-5)
+
+
 def test_features_of_short_texts():
     for text in (b"", b"a", b" ", "é".encode(), b"a a"):
         found = c.features(text, WordHashes(), 10)
