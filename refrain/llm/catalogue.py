@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_chat_format": chat.op5_chat_format,
     "op1_warc": warc.OP1_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,

@@ -36,7 +36,8 @@ def examples(conversations: DataFrame) -> DataFrame:
 
     loss_start and loss_chars say which code points of formatted are trainable; without a trainable part both are 0. `last` marks
     the example that holds all turns. Turns are ordered by turn, then role, then text, nulls first; repeated turns all count. Null
-    roles and texts are empty. Rows with a null conv_id are one conversation. Other columns are not looked at.
+    roles and texts are empty. Rows with a null conv_id are one conversation. Other columns are not looked at. Texts are taken whole; a
+    conversation is a row of one task, and its examples are as long as all its prefixes. A table without rows gives none.
     """
     blank = F.lit("")
     own = conversations.select("conv_id", F.struct("turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text")).alias("t"))
@@ -69,6 +70,11 @@ def loss_of(formatted: Column, start: Column, chars: Column) -> Column:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of every conversation and of -1, read back from its examples.
+
+    Null roles and texts are empty; equal turns are ordered by role, then text, and repeated ones all count; rows with a
+    null conv_id are one conversation; a table without rows gives conversation -1 alone; other columns are not looked at.
+    """
     added = spark.sql(r"SELECT -1L AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     made = examples(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
     found = made.select(
