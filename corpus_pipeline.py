@@ -2,6 +2,11 @@
 
 Each stage takes what the one before has kept, from Parquet in the shared folder. All but the last return the columns of
 documents; the last returns the places of all pieces in the packed sequences.
+
+Null and empty texts have no words and are rejected by the quality rules at the latest; rows that share a doc_id are one document for near
+duplicates, of which one row stays; a null doc_id is never a duplicate; of a group the least doc_id stays. Texts are read
+whole. Columns beside those of documents are kept up to the last stage, whatever their names, and change nothing. A table without rows
+gives none.
 """
 
 from __future__ import annotations
