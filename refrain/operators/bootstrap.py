@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Seed, replicates and quantiles of the drawn forms, which decide on the draws; fixed values.
+SEED, REPLICATES, LEVELS = 20261002, 2000, (0.025, 0.975)
+#: Numbers drawn at once: replicates come in parts, so that memory grows with the clusters alone.
+DRAWN = 4_000_000
 #: Cumulative probabilities of the Poisson distribution with mean 1; fixed values.
 POISSON = [0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656, 0.999405815182418]
 
@@ -49,29 +53,63 @@ def _drawn(sums: DataFrame, columns: list[str], draw, by: list[str]) -> DataFram
     return sums.select(*by, *columns, "s", "n").groupBy(*by).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "estimate double, low double, high double"]))
 
 
-def cluster_interval(sums: DataFrame, by: list[str], seed: int = 20261002, replicates: int = 2000) -> DataFrame:
+def _parts(replicates: int, width: int) -> list[int]:
+    size = max(1, DRAWN // max(1, width))
+    return [min(size, replicates - i) for i in range(0, replicates, size)]
+
+
+def _bounds(found: np.ndarray) -> tuple[float, float]:
+    return (float(np.quantile(found, LEVELS[0])), float(np.quantile(found, LEVELS[1]))) if len(found) else (float("nan"), float("nan"))
+
+
+def cluster_interval(sums: DataFrame, by: list[str], seed: int = SEED, replicates: int = REPLICATES) -> DataFrame:
     """By group, the interval over clusters (place, s, n) drawn with replacement, in the order of `place`, where each first appears."""
     def draw(rows: pd.DataFrame) -> tuple[float, float]:
         rows = rows.sort_values("place")
         s, n = rows["s"].to_numpy(float), rows["n"].to_numpy(float)
-        picked = np.random.default_rng(seed).integers(0, len(s), (replicates, len(s)))
-        found = s[picked].sum(axis=1) / n[picked].sum(axis=1)
-        return float(np.quantile(found, 0.025)), float(np.quantile(found, 0.975))
+        random, found = np.random.default_rng(seed), []
+        for some in _parts(replicates, len(s)):
+            picked = random.integers(0, len(s), (some, len(s)))
+            found.append(s[picked].sum(axis=1) / n[picked].sum(axis=1))
+        return _bounds(np.concatenate(found))
 
     return _drawn(sums, ["place"], draw, by)
 
 
-def crossed_interval(sums: DataFrame, by: list[str], seed: int = 20261002, replicates: int = 2000) -> DataFrame:
+def crossed_interval(sums: DataFrame, by: list[str], seed: int = SEED, replicates: int = REPLICATES) -> DataFrame:
     """By group, the interval with multinomial weights of the sorted sources and of the sorted montages, multiplied (source, montage, s, n)."""
     def draw(rows: pd.DataFrame) -> tuple[float, float]:
-        sources, i = np.unique(rows["source"].to_numpy(), return_inverse=True)
-        montages, j = np.unique(rows["montage"].to_numpy(), return_inverse=True)
-        random = np.random.default_rng(seed)
-        a = random.multinomial(len(sources), np.full(len(sources), 1 / len(sources)), replicates)
-        b = random.multinomial(len(montages), np.full(len(montages), 1 / len(montages)), replicates)
-        w = a[:, i] * b[:, j]
-        total = w @ rows["n"].to_numpy(float)
-        found = (w @ rows["s"].to_numpy(float))[total > 0] / total[total > 0]
-        return (float(np.quantile(found, 0.025)), float(np.quantile(found, 0.975))) if len(found) else (float("nan"), float("nan"))
+        return _bounds(next(iter(crossed_rates(rows, seed, replicates, ["s"]).values())))
 
     return _drawn(sums, ["source", "montage"], draw, by)
+
+
+def crossed_rates(rows: pd.DataFrame, seed: int, replicates: int, values: list[str]) -> dict[str, np.ndarray]:
+    """Rates of each value over n (source, montage, n, ...) in every replicate with weight, all from the same draws."""
+    sources, i = np.unique(rows["source"].to_numpy(), return_inverse=True)
+    montages, j = np.unique(rows["montage"].to_numpy(), return_inverse=True)
+    parts = _parts(replicates, len(rows) + len(sources) + len(montages))
+    one, two = np.random.default_rng(seed), np.random.default_rng(seed)
+    each = lambda random, k, size: random.multinomial(k, np.full(k, 1 / k), size)
+    for some in parts:  # montages are drawn after all sources
+        each(two, len(sources), some)
+    found: dict[str, list] = {v: [] for v in values}
+    for some in parts:
+        w = each(one, len(sources), some)[:, i] * each(two, len(montages), some)[:, j]
+        total = w @ rows["n"].to_numpy(float)
+        for v in values:
+            found[v].append((w @ rows[v].to_numpy(float))[total > 0] / total[total > 0])
+    return {v: np.concatenate(x) for v, x in found.items()}
+
+
+def shared_intervals(rows: DataFrame, strata: str, values: list[str], replicates: int = 200) -> DataFrame:
+    """(stratum, value, estimate, low, high): for each stratum (a column of arrays of names, so that strata may share rows) and each value (0 or 1, or sums)
+    over n, with one set of hashed weights of the clusters for all of them. rows: cluster, strata, n and the values.
+    """
+    each = rows.select("cluster", F.explode(strata).alias("stratum"), "n", *values).groupBy("cluster", "stratum").agg(F.sum("n").alias("n"), *(F.sum(v).alias(v) for v in values))
+    weights = rows.select("cluster").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight(F.col("cluster"), F.col("replicate"), "c")).where("w > 0")
+    drawn = each.join(weights, "cluster").groupBy("stratum", "replicate").agg(F.sum(F.col("w") * F.col("n")).alias("n"), *(F.sum(F.col("w") * F.col(v)).alias(v) for v in values))
+    long = lambda df: df.select("stratum", F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.try_divide(F.col(v), F.col("n")).alias("rate")) for v in values))).alias("x")).select("stratum", "x.value", "x.rate")
+    bounds = long(drawn).groupBy("stratum", "value").agg(F.percentile("rate", F.lit(LEVELS[0])).alias("low"), F.percentile("rate", F.lit(LEVELS[1])).alias("high"))
+    whole = long(each.groupBy("stratum").agg(F.sum("n").alias("n"), *(F.sum(v).alias(v) for v in values))).withColumnRenamed("rate", "estimate")
+    return whole.join(bounds, ["stratum", "value"])

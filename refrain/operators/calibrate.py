@@ -9,25 +9,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def threshold(scores: DataFrame, target: float, by: list[str] | None = None) -> DataFrame:
+def threshold(scores: DataFrame, target: float, by: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
     """(by..., gate, unknowns, false_accepts): the score that one must exceed (strictly) for at most target * n unknowns to be accepted.
 
     gate is the order statistic itself: to exceed it is to reach the next double above it. Ties are all rejected. Without scores there is
     no row; a score that isn't finite raises an error.
+
+    Quantiles that are off by one in `accuracy` at most bound the order statistic; only scores between them, a few in
+    `accuracy` of all, are put in order, and those above are counted.
     """
     by = by or []
     if not 0 <= target < 1:
         raise ValueError("target must be in [0, 1)")
     good = F.when(F.isnan("score") | F.col("score").isNull() | (F.abs("score") == float("inf")), F.raise_error(F.lit("a score is not finite"))).otherwise(F.col("score"))
-    counted = scores.select(*by, good.alias("score")).groupBy(*by, "score").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    placed = counted.withColumns({"reached": F.sum("c").over(w.orderBy(F.desc("score"))), "n": F.sum("c").over(w)})
-    placed = placed.withColumn("allowed", F.floor(F.lit(target) * F.col("n")))
-    first = placed.where(F.col("reached") > F.col("allowed")).groupBy(*by).agg(F.max_by(F.struct("score", "n", (F.col("reached") - F.col("c")).alias("above")), "score").alias("g"))
-    return first.where("g is not null").select(*by, F.col("g.score").alias("gate"), F.col("g.n").alias("unknowns"), F.col("g.above").alias("false_accepts"))
+    checked = scores.select(*by, good.cast("double").alias("score"))
+    slack = 2 / accuracy
+    ends = checked.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("score", [max(0.0, 1 - target - slack), min(1.0, 1 - target + slack)], accuracy).alias("ends")).where("n > 0")
+    met = checked.join(ends, by) if by else checked.crossJoin(F.broadcast(ends))  # one row
+    some = met.where(F.col("score") >= F.get("ends", F.lit(0))).groupBy(*by, "n", F.when(F.col("score") <= F.get("ends", F.lit(1)), F.col("score")).alias("score")).agg(F.count("*").alias("c"))
+    placed = some.withColumn("reached", F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc_nulls_first("score"))))
+    first = placed.where((F.col("reached") > F.floor(F.lit(target) * F.col("n"))) & F.col("score").isNotNull())
+    found = first.groupBy(*by).agg(F.max_by(F.struct("score", "n", (F.col("reached") - F.col("c")).alias("above")), "score").alias("g"))
+    return found.where("g is not null").select(*by, F.col("g.score").alias("gate"), F.col("g.n").alias("unknowns"), F.col("g.above").alias("false_accepts"))
+
+
+#: The normal quantile of a two-sided 95 % interval; a fixed value.
+Z = 1.959963984540054
 
 
-def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+def wilson(successes: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     """The score interval of a rate, within [0, 1]; null without trials."""
     p = successes / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)

@@ -113,52 +113,104 @@ def affine_all_pairs(neighbours: DataFrame, tolerance: float = 0.12, low: float
     return votes.withColumn("place", F.row_number().over(order)).where("place = 1").select("query_id", "content_id", "slope", "intercept", "votes")
 
 
-def affine(neighbours: DataFrame, tolerance: float = 0.12, low: float = 0.5, high: float = 2.0, proposals: int = 64, min_span: float = 1.0, seed: int = 20261002) -> DataFrame:
-    """As affine_all_pairs, from `proposals` random pairs of each content with at least three query rows, beside the slope 1; slope and
-    intercept are those of a least-squares fit to the votes, where it has more of them or as many at a smaller mean distance.
+#: Pairs drawn for each content, the seed, and what a window may exceed its width by; fixed values.
+PROPOSALS, SEED, SLACK = 64, 20261002, 1e-12
+
+
+def unit_window(q: np.ndarray, r: np.ndarray, d: np.ndarray, tolerance: float) -> tuple[int, float, float]:
+    """Votes, mean distance and offset of the best window of offsets, as consensus finds it. q: times of query rows, r: of references."""
+    order = np.lexsort((d, q, r - q))
+    off, row, near = (r - q)[order], q[order], d[order]
+    best = (0, np.inf, 0.0)
+    for left in np.unique(off):
+        inside = (off >= left) & (off - left <= 2 * tolerance + SLACK)
+        o, w, x = off[inside], row[inside], near[inside]
+        by = np.lexsort((o, x, w))
+        first = np.concatenate([[True], w[by][1:] != w[by][:-1]])
+        o, x = o[by][first], x[by][first]
+        if (len(o), -x.mean()) > (best[0], -best[1]):
+            best = (len(o), float(x.mean()), float(max(min(np.median(o), o.min() + tolerance), o.max() - tolerance)))
+    return best
+
+
+def affine(neighbours: DataFrame, tolerance: float = 0.12, low: float = 0.5, high: float = 2.0, proposals: int = PROPOSALS, min_span: float = 1.0, seed: int = SEED) -> DataFrame:
+    """(query_id, content_id, slope, intercept, votes, mean_distance): the line rt = slope * qt + intercept that most query rows vote for.
+
+    First comes the window of consensus, of slope 1, which nothing removes. For contents with at least three query rows and min_span seconds
+    of them, lines through up to `proposals` random pairs of neighbours are scored by votes (each query row once, with its nearest
+    neighbour within the tolerance), then mean distance, then nearness of the slope to 1; the best one is fitted to its votes
+    by least squares. Either replaces what was found so far only with more votes, or as many at a smaller mean distance.
 
     One group is one query and content.
     """
+    if not 0 < low <= 1 <= high or proposals < 1 or tolerance < 0:
+        raise ValueError("slope 1 must be in range, proposals positive and the tolerance not negative")
+
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
-        q, r, d = rows["qt"].to_numpy(), rows["rt"].to_numpy(), rows["distance"].to_numpy()
-        random = np.random.default_rng([seed, *str(first["content_id"]).encode()])
+        q, r, d = rows["qt"].to_numpy(float), rows["rt"].to_numpy(float), rows["distance"].to_numpy(float)
+        n, mean, offset = unit_window(q, r, d, tolerance)
+        found = (n, -mean, 1.0, offset)
 
         def votes(a: float, b: float) -> tuple[int, float, np.ndarray]:
-            inside = np.flatnonzero(np.abs(r - a * q - b) <= tolerance)
+            inside = np.flatnonzero(np.abs(r - a * q - b) <= tolerance + SLACK)
             order = inside[np.lexsort((d[inside], q[inside]))]
             own = order[np.concatenate([[True], q[order][1:] != q[order][:-1]])] if len(order) else order
             return len(own), float(d[own].mean()) if len(own) else np.inf, own
 
-        poses = [(1.0, float(x)) for x in np.unique(r - q)]
-        if len(np.unique(q)) >= 3 and q.max() - q.min() >= min_span:
+        if len(np.unique(q)) >= 3 and np.ptp(q) >= min_span:
+            random = np.random.default_rng([seed, *str(first["content_id"]).encode()])
             i, j = random.integers(0, len(q), (2, 12 * proposals))
-            i, j = np.where(q[i] < q[j], i, j), np.where(q[i] < q[j], j, i)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                slope = (r[j] - r[i]) / (q[j] - q[i])
-            good = np.flatnonzero((q[j] - q[i] >= min_span) & (slope >= low) & (slope <= high))[:proposals]
-            poses += [(float(slope[k]), float(r[i[k]] - slope[k] * q[i[k]])) for k in good]
-        scored = sorted((-n, mean, abs(a - 1), a, b) for a, b in poses for n, mean, _ in [votes(a, b)])
-        n, mean, _, a, b = scored[0]
-        own = votes(a, b)[2]
-        if len(np.unique(q[own])) >= 2:
-            a2, b2 = np.polyfit(q[own], r[own], 1)
-            n2, mean2, _ = votes(a2, b2)
-            if low <= a2 <= high and (n2, -mean2) > (-n, -mean):
-                n, mean, a, b = -n2, mean2, float(a2), float(b2)
-        return pd.DataFrame({"query_id": [first["query_id"]], "content_id": [first["content_id"]], "slope": [a], "intercept": [b], "votes": [-n], "mean_distance": [mean]})
+            wide = np.abs(q[j] - q[i]) >= min_span
+            i, j = i[wide], j[wide]
+            slope = (r[j] - r[i]) / (q[j] - q[i])
+            good = np.flatnonzero((slope >= low) & (slope <= high))[:proposals]
+            scored = sorted(((-m, x, abs(a - 1), a, b) for a, b in ((float(slope[k]), float(r[i[k]] - slope[k] * q[i[k]])) for k in good) for m, x, _ in [votes(a, b)]), key=lambda c: c[:3])
+            lines = [scored[0][3:]] if scored else []
+            if lines and len(np.unique(q[own := votes(*lines[0])[2]])) >= 2:
+                a, b = np.polyfit(q[own], r[own], 1)
+                lines += [(float(a), float(b))] if low <= a <= high else []
+            for a, b in lines:
+                m, x, _ = votes(a, b)
+                if (m, -x) > found[:2]:
+                    found = (m, -x, a, b)
+        return pd.DataFrame({"query_id": [first["query_id"]], "content_id": [first["content_id"]], "slope": [found[2]], "intercept": [found[3]], "votes": [found[0]], "mean_distance": [-found[1]]})
 
     own = neighbours.select("query_id", "content_id", "qt", "rt", "distance")
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
     return own.groupBy("query_id", "content_id").applyInPandas(fit, f"query_id {kinds['query_id']}, content_id {kinds['content_id']}, slope double, intercept double, votes bigint, mean_distance double")
 
 
+def physical_rerank(neighbours: DataFrame, queries: DataFrame, references: DataFrame, hop: float, limit: int = 1) -> DataFrame:
+    """(query_id, content_id, start_s, score, scale, evidence_frames, rank): aligned sequences on the clock of the references, whose rows are `hop` seconds apart.
+
+    neighbours: query_id, qt, content_id, rpos, rt, rank; queries: query_id, qt, v; references: content_id, pos (from 0), t, v. The tempo
+    is that of stretch_factors in seconds, whatever the hops of both sides. A query row at qt is at rint(start + qt / (factor * hop)), where each
+    neighbour proposes a start; sequences that leave the recording are dropped, and a sequence counts once. evidence_frames are its distinct
+    reference rows. Of equal scores the smaller content_id, then start, wins.
+    """
+    timed = neighbours.select("query_id", "content_id", "rank", F.col("qt").alias("qpos"), F.col("rt").alias("rpos"))
+    factors = stretch_factors(timed)
+    reach = queries.groupBy("query_id").agg(F.min("qt").alias("low"), F.max("qt").alias("high"))
+    ends = references.groupBy("content_id").agg(F.count("*").alias("m"))
+    step = F.col("factor") * hop
+    starts = neighbours.join(factors, ["query_id", "content_id"]).select("query_id", "content_id", "factor", F.rint(F.col("rpos") - F.col("qt") / step).cast("bigint").alias("start")).distinct()
+    inside = (F.rint(F.col("start") + F.col("low") / step) >= 0) & (F.rint(F.col("start") + F.col("high") / step) < F.col("m"))
+    starts = starts.join(reach, "query_id").join(ends, "content_id").where(inside).drop("low", "high", "m")
+    pairs = starts.join(queries.select("query_id", "qt", F.col("v").alias("qv")), "query_id").withColumn("pos", F.rint(F.col("start") + F.col("qt") / step).cast("bigint"))
+    met = pairs.join(references.select("content_id", "pos", "t", F.col("v").alias("rv")), ["content_id", "pos"])
+    scored = met.groupBy("query_id", "content_id", "start", "factor").agg(F.avg(vectors.dot(F.col("qv"), F.col("rv"))).alias("score"), F.min("t").alias("start_s"), F.countDistinct("pos").alias("evidence_frames"))
+    return _top(scored, limit).select("query_id", "content_id", "start_s", "score", (1 / F.col("factor")).alias("scale"), "evidence_frames", "rank")
+
+
 def landmark_offsets(queries: DataFrame, references: DataFrame, around: int = 2, min_count: int = 5, limit: int = 1) -> DataFrame:
     """Landmark hashes: (query_id, content_id, offset, matched) by equal hashes (id, t, hash), counted per difference of times and its neighbours up to `around`.
 
-    A hash that many recordings hold is counted before anything is joined: pairs are of distinct (id, t, hash) only.
+    A query counts each (t, hash) once, and so does a content; repetitions go after the join, which only rows with a hash of some
+    query reach. A hash that many rows of both sides hold is split by the adaptive join.
     """
-    hits = queries.select("query_id", F.col("t").alias("qt"), "hash").distinct().join(references.select("content_id", F.col("t").alias("rt"), "hash").distinct(), "hash")
+    asked = queries.select("query_id", F.col("t").alias("qt"), "hash").distinct()
+    hits = references.select("content_id", F.col("t").alias("rt"), "hash").join(asked, "hash").distinct()
     bins = hits.groupBy("query_id", "content_id", (F.col("rt") - F.col("qt")).alias("offset")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("query_id", "content_id").orderBy("offset").rangeBetween(-around, around)
     summed = bins.withColumn("matched", F.sum("n").over(w))
@@ -175,6 +227,11 @@ def lsh_votes(queries: DataFrame, references: DataFrame, votes: int = 4) -> Data
     return left.join(right, ["table", "bin"]).groupBy("qid", "rid").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
 
 
+def canonical(score: Column, digits: int = 12) -> Column:
+    """A score as results are compared by: so many decimals, halves to even."""
+    return F.bround(score, digits)
+
+
 def aligned_correlation(query: np.ndarray, reference: np.ndarray, start: int, reach: int) -> tuple[str, float | None, int | None]:
     """Pearson correlation of a waveform with a reference at the lag within `reach` of `start` where it is largest in size: status, r, lag."""
     n = len(query)

@@ -20,6 +20,12 @@ class Gallery:
     centroids: tuple | None = None
     probes: int = 16
 
+    @staticmethod
+    def _checked(rows: DataFrame, of: str, order: str, t: str) -> None:
+        bad = validate.not_increasing(rows, of, order, t).take(1)
+        if bad:
+            raise ValueError(f"times of {bad[0][0]} are not finite and increasing")
+
     @staticmethod
     def from_fingerprints(prints: DataFrame, factor: int = 1, phase: int = 0, c: Config = Config(), centroids=None, probes: int = 16) -> Gallery:
         """Fingerprints (content_id, frame, v) thinned by physical frame; a repeated (content_id, frame) raises ValueError."""
@@ -41,13 +47,18 @@ class Gallery:
         return met.select("query_id", "qrow", "qt", "content_id", "rt", "distance", "rank")
 
     def match(self, queries: DataFrame, k: int = 5, tolerance: float = 0.12, min_votes: int = 1, limit: int = 10, max_distance: float | None = None) -> DataFrame:
-        """Ranked recordings of each query by temporal-offset consensus."""
+        """Ranked recordings of each query by temporal-offset consensus. Query times that aren't finite and strictly increasing in the order of qrow raise ValueError."""
+        self._checked(queries, "query_id", "qrow", "qt")
         counts = queries.groupBy("query_id").agg(F.count("*").alias("n"))
         return matching.consensus(self.search(queries, k, max_distance), counts, tolerance, min_votes, limit)
 
     def save(self, path: str) -> None:
-        self.rows.write.mode("overwrite").parquet(path)
+        """Rows and centroids, each a table below the path."""
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        found = [(int(i), [float(x) for x in v]) for i, v in self.centroids or ()]
+        self.rows.sparkSession.createDataFrame(found, "id bigint, v array<double>").withColumn("probes", F.lit(self.probes)).write.mode("overwrite").parquet(f"{path}/centroids")
 
     @staticmethod
-    def load(spark, path: str, centroids=None, probes: int = 16) -> Gallery:
-        return Gallery(spark.read.parquet(path), tuple(centroids) if centroids else None, probes)
+    def load(spark, path: str) -> Gallery:
+        found = spark.read.parquet(f"{path}/centroids").collect()  # as many rows as centroids
+        return Gallery(spark.read.parquet(f"{path}/rows"), tuple((r.id, list(r.v)) for r in found) or None, found[0].probes if found else 16)

@@ -48,6 +48,32 @@ def test_knn_equals_brute_force_whatever_the_partitions(spark):
         knn.nearest(df(qs, "qid"), df(refs, "rid"), 0)
 
 
+@pytest.mark.parametrize("inner", [False, True])
+def test_blocks_of_queries_equal_one_block(spark, monkeypatch, inner):
+    r = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.integers(0, 4, (300, 5)).astype(float))], "rid bigint, v array<double>")
+    qs = rows.where("rid % 7 = 0").withColumnRenamed("rid", "qid")
+    key = lambda: {(x.qid, x.rid, x.distance, x["rank"]) for x in knn.nearest(qs, rows, 6, inner_product=inner, max_distance=None if inner else 9.0, exclude="same").collect()}
+    want = key()
+    monkeypatch.setattr(knn, "MOST_QUERY_BYTES", 10 * 40)
+    monkeypatch.setattr(knn, "REFERENCE_BYTES", 70 * 40)
+    assert key() == want and all(q != i for q, i, _, _ in want)
+
+
+def test_recall_of_cells(spark):
+    """Trained centroids, fewer probes than cells, against the exact search; and large cells dealt over tasks."""
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 16)) * 1.2
+    data = centres[r.integers(0, 40, 4000)] + r.normal(size=(4000, 16))
+    rows = spark.createDataFrame([(i, i % 20, v.tolist()) for i, v in enumerate(data)], "rid bigint, source int, v array<double>")
+    qs = rows.where("rid % 20 = 0").select(F.col("rid").alias("qid"), "v")
+    centroids = knn.train_centroids(rows, 32, sample=2000, per_source=200)
+    key = lambda d: {(x.qid, x.rid) for x in d.collect()}
+    exact = key(knn.nearest(qs, rows, 10, exclude="same"))
+    found = [key(knn.nearest_by_cell(qs, rows, centroids, 10, p, "same", size)) for p, size in ((8, 50_000), (8, 30), (1, 50_000))]
+    assert found[0] == found[1] and len(found[0] & exact) >= 0.9 * len(exact) and len(found[2] & exact) < len(found[0] & exact)
+
+
 def test_cells_with_all_probes_equal_the_exact_search(spark):
     r = np.random.default_rng(5)
     rows = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(r.normal(size=(200, 3)))], "rid bigint, source int, v array<double>")
