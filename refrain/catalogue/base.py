@@ -16,6 +16,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("content_id"), place.cast("bigint").alias("frame"), "vec_id", F.col("embedding").alias("v"))
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """content_id and pcm: the vectors of a recording, one after the other, as a signal."""
+    own = frames(spark, sf_dir).groupBy("content_id").agg(F.sort_array(F.collect_list(F.struct("frame", "v"))).alias("rows"))  # a recording per row
+    return own.select("content_id", F.flatten(F.transform("rows", lambda r: r["v"].cast("array<double>"))).alias("pcm"))
+
+
 def r6(c: Column, name: str) -> Column:
     return (F.round(c, 6) + 0.0).alias(name)
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.catalogue.base import r6, read
 from refrain.operators import bootstrap, calibrate, evaluate
+from refrain.plans import freeze
+from refrain.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -208,3 +212,64 @@ def select_operating_point(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SETTINGS} SELECT stride, nprobe, rate FROM s WHERE rate >= (SELECT max(rate) FROM s) - 0.03 ORDER BY stride DESC, nprobe, rate DESC LIMIT 1")
 def select_point_slack(spark: SparkSession, sf: str) -> DataFrame:
     return calibrate.select_point(_settings(spark, sf), 0.03).select("stride", "nprobe", "rate")
+
+
+SESSION = """a AS (SELECT doc_id AS i, lang AS session, source AS creator, doc_id % 9 AS source_id, CASE WHEN quality = 1 THEN 'test_known' ELSE 'test_unknown' END AS role, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 10 END AS found_id, doc_id % 5 AS target_id, (doc_id % 17)::DOUBLE / 4 AS o, (doc_id % 13)::DOUBLE / 4 AS e,
+  doc_id % 3 = 1 AS top, doc_id % 11 <> 0 AND (n_chars % 1000) > 400 AS accepted FROM documents JOIN labels USING (doc_id)),
+f AS (SELECT *, role = 'test_known' AS k, coalesce(found_id = target_id, false) AS correct, coalesce(found_id = target_id, false) AND abs(o - e) <= 0.1 AS tight, coalesce(found_id = target_id, false) AND abs(o - e) <= 2 AS loose FROM a)"""
+
+
+@query(f"""WITH {SESSION} SELECT CASE WHEN grouping(role) = 0 THEN 'role' WHEN grouping(session) = 0 THEN 'session' WHEN grouping(top) = 0 THEN 'top' ELSE 'all' END AS by, CASE WHEN grouping(role) = 0 THEN role WHEN grouping(session) = 0 THEN session WHEN grouping(top) = 0 THEN top::VARCHAR ELSE 'all' END AS value,
+count(*)::BIGINT AS queries, count(DISTINCT source_id)::BIGINT AS sources, count(DISTINCT creator)::BIGINT AS creators, count_if(k)::BIGINT AS known, count_if(NOT k)::BIGINT AS unknown, count_if(k AND correct)::BIGINT AS correct, count_if(k AND tight)::BIGINT AS localized_tight, count_if(k AND loose)::BIGINT AS localized_loose,
+count_if(k AND accepted AND correct)::BIGINT AS accepted_correct, count_if(k AND accepted AND tight)::BIGINT AS accepted_localized_tight, count_if(k AND accepted AND loose)::BIGINT AS accepted_localized_loose, count_if(k AND accepted AND NOT correct)::BIGINT AS accepted_wrong,
+count_if(NOT k AND accepted)::BIGINT AS false_accepts, count(DISTINCT CASE WHEN NOT k AND accepted THEN source_id END)::BIGINT AS false_accept_sources FROM f GROUP BY GROUPING SETS ((role), (session), (top), ())""")
+def session_summary(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    own = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id").select(
+        F.col("lang").alias("session"), F.col("source").alias("creator"), (i % 9).alias("source_id"), F.when(F.col("quality") == 1, "test_known").otherwise("test_unknown").alias("role"), F.when(i % 11 != 0, i % 10).alias("found_id"),
+        (i % 5).alias("target_id"), (i % 17 / 4).alias("offset_s"), (i % 13 / 4).alias("expected_s"), (i % 3 == 1).alias("top"), ((i % 11 != 0) & (F.col("n_chars") % 1000 > 400)).alias("accepted"),
+    )
+    return evaluate.session_summary(evaluate.session_flags(own), ["role", "session", "top"])
+
+
+CONDITIONS = """p AS (SELECT lang AS condition, CASE WHEN doc_id % 4 = 0 THEN 'calibration_unknown' WHEN quality = 1 THEN 'test_known' ELSE 'test_unknown' END AS role, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 10 END AS found_id, doc_id % 5 AS target_id, (n_chars % 1000) / 1000.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id)),
+u AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS n, count(*) OVER () AS t FROM p WHERE role = 'calibration_unknown'), g AS (SELECT score AS gate FROM u WHERE n = floor(0.05::DOUBLE * t) + 1)"""
+
+
+def _conditions(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    role = F.when(i % 4 == 0, "calibration_unknown").when(F.col("quality") == 1, "test_known").otherwise("test_unknown")
+    own = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
+    return own.select(F.col("lang").alias("condition"), role.alias("role"), F.when(i % 11 != 0, i % 10).alias("found_id"), (i % 5).alias("target_id"), (F.col("n_chars") % 1000 / 1000).alias("score"))
+
+
+@query(f"""WITH {CONDITIONS}, e AS (SELECT unnest([condition, 'all']) AS condition, gate, role = 'test_known' AS k, coalesce(found_id = target_id, false) AS ok, found_id IS NOT NULL AND score > gate AS a FROM p, g WHERE role LIKE 'test%'),
+c AS (SELECT condition, gate, count_if(k) AS known, count_if(k AND ok) AS correct, count_if(k AND a AND ok) AS accepted_correct, count_if(k AND a AND NOT ok) AS accepted_wrong, count_if(NOT k)::DOUBLE AS n, count_if(NOT k AND a)::DOUBLE AS s FROM e GROUP BY 1, 2),
+z AS (SELECT *, s / n AS q, 1.959963984540054::DOUBLE AS z FROM c), i AS (SELECT *, (q + z * z / (2 * n)) / (1 + z * z / n) AS m, z * sqrt(q * (1 - q) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS h FROM z)
+SELECT condition, round(gate, 6) AS gate, known::BIGINT AS known, correct::BIGINT AS correct, accepted_correct::BIGINT AS accepted_correct, accepted_wrong::BIGINT AS accepted_wrong, n::BIGINT AS unknown, s::BIGINT AS false_accepts,
+CASE WHEN n > 0 THEN round(greatest(m - h, 0), 6) END AS low, CASE WHEN n > 0 THEN round(least(m + h, 1), 6) END AS high FROM i""")
+def condition_summary(spark: SparkSession, sf: str) -> DataFrame:
+    found = evaluate.condition_summary(_conditions(spark, sf), 0.05)
+    return found.withColumns({c: F.round(c, 6) + 0.0 for c in ("gate", "low", "high")})
+
+
+@query(f"""WITH {CONDITIONS} SELECT role, round(gate, 6) AS gate, count(*)::BIGINT AS queries, count_if(score > gate)::BIGINT AS accepted FROM p, g GROUP BY 1, 2""")
+def frozen_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibration rows are scored first and their gate is written; rows of all roles are then judged by what was written."""
+    rows = _conditions(spark, sf)
+    path = f"{files.shared_folder(spark)}/gate-{uuid.uuid4().hex}"
+    freeze.freeze_gate(rows.where("role = 'calibration_unknown'"), 0.05, path, table="documents")
+    gate = freeze.gate_of(spark, path)
+    return rows.groupBy("role").agg(F.count("*").alias("queries"), F.count_if(F.col("score") > gate).alias("accepted")).withColumn("gate", F.round(gate, 6))
+
+
+@query(f"""WITH e AS (SELECT o_custkey AS cluster, unnest(['all', o_orderpriority]) AS stratum, o_orderstatus FROM orders), s AS (SELECT cluster, stratum, count(*) AS n, count_if(o_orderstatus = 'F') AS f, count_if(o_orderstatus = 'O') AS o FROM e GROUP BY 1, 2),
+d AS (SELECT s.*, r, {WC} AS w FROM s, (SELECT unnest(range(100)) AS r)), b AS (SELECT stratum, r, sum(w * f)::DOUBLE / nullif(sum(w * n), 0) AS f, sum(w * o)::DOUBLE / nullif(sum(w * n), 0) AS o FROM d GROUP BY 1, 2),
+t AS (SELECT stratum, sum(f)::DOUBLE / sum(n) AS f, sum(o)::DOUBLE / sum(n) AS o FROM s GROUP BY 1)
+SELECT b.stratum, 'final' AS value, round(max(t.f), 6) AS estimate, round(quantile_cont(b.f, 0.025), 6) AS low, round(quantile_cont(b.f, 0.975), 6) AS high FROM b JOIN t ON t.stratum = b.stratum GROUP BY 1
+UNION ALL SELECT b.stratum, 'open', round(max(t.o), 6), round(quantile_cont(b.o, 0.025), 6), round(quantile_cont(b.o, 0.975), 6) FROM b JOIN t ON t.stratum = b.stratum GROUP BY 1""")
+def shared_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """One set of weights of customers for all priorities and for both states."""
+    own = read(spark, sf, "orders").select(F.col("o_custkey").alias("cluster"), F.array(F.lit("all"), "o_orderpriority").alias("strata"), F.lit(1).alias("n"), (F.col("o_orderstatus") == "F").cast("int").alias("final"), (F.col("o_orderstatus") == "O").cast("int").alias("open"))
+    found = bootstrap.shared_intervals(own, "strata", ["final", "open"], 100)
+    return found.select("stratum", "value", *(r6(F.col(c), c) for c in ("estimate", "low", "high")))

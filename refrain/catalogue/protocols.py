@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.catalogue.base import frames, r6, read
 from refrain.operators import knn, protocol, relating, validate
+from refrain.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,9 +75,9 @@ def annotation_overlap(spark: SparkSession, sf: str) -> DataFrame:
 SELECT id, count(DISTINCT event_type)::BIGINT AS admissible, bool_or(event_type = 'purchase') AS purchase FROM p GROUP BY id""")
 def secondary_admissible(spark: SparkSession, sf: str) -> DataFrame:
     spans = _spans(spark, sf)
-    crops = spans.select(F.col("id").alias("crop"), "user_id", F.col("begin").alias("b"), F.least("end", F.col("begin") + 300).alias("e"))
-    met = crops.join(spans, "user_id").where(F.least("e", "end") - F.greatest("b", "begin") > 1e-6)
-    return met.groupBy(F.col("crop").alias("id")).agg(F.countDistinct("event_type").alias("admissible"), F.bool_or(F.col("event_type") == "purchase").alias("purchase"))
+    crops = spans.select(F.col("id").alias("crop"), "user_id", "begin", F.least("end", F.col("begin") + 300).alias("end"))
+    met = relating.admissible(crops, spans, "user_id", "event_type")
+    return met.groupBy(F.col("crop").alias("id")).agg(F.count("*").alias("admissible"), F.bool_or(F.col("event_type") == "purchase").alias("purchase"))
 
 
 @query(f"""WITH {SPANS}, o AS (SELECT user_id, row_number() OVER (ORDER BY sha256('u:' || user_id), user_id) AS n, count(*) OVER () AS t FROM (SELECT DISTINCT user_id FROM s)), r AS (SELECT user_id, CASE WHEN n <= round_even(t * 0.1::DOUBLE, 0) THEN 'pca_fit' WHEN n <= round_even(t * (0.1::DOUBLE + 0.15::DOUBLE), 0) THEN 'calibration_known'
@@ -106,12 +109,14 @@ def nearest_time_asof(spark: SparkSession, sf: str) -> DataFrame:
     return relating.nearest_time(left, events.where("event_type = 'purchase'").select("user_id", "t"), "user_id")
 
 
-@query("""WITH d AS (SELECT doc_id AS id, lower(trim(lang)) AS creator, lower(trim(substr(text, 1, 8))) AS title FROM documents), a AS (SELECT creator, title, list_sort(list(id)) AS a_ids FROM d WHERE id % 2 = 0 GROUP BY 1, 2),
-b AS (SELECT creator, title, list_sort(list(id)) AS b_ids FROM d WHERE id % 2 = 1 GROUP BY 1, 2) SELECT creator, title, len(a_ids)::BIGINT AS n_a, b_ids[1] AS first_b FROM a JOIN b USING (creator, title)""")
+@query("""WITH d AS (SELECT doc_id AS id, lower(trim(lang)) AS creator, lower(trim(split_part(text, chr(10), 1))) AS title FROM documents), a AS (SELECT creator, title, list_sort(list(id)) AS a_ids FROM d WHERE id IN (SELECT doc_id FROM labels) GROUP BY 1, 2),
+b AS (SELECT creator, title, list_sort(list(id)) AS b_ids FROM d GROUP BY 1, 2) SELECT creator, title, len(a_ids)::BIGINT AS n_a, len(b_ids)::BIGINT AS n_b, b_ids[1] AS first_b FROM a JOIN b USING (creator, title)""")
 def title_creator_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents with all that have the same language and first line."""
     own = read(spark, sf, "documents").withColumnRenamed("doc_id", "id")
-    found = relating.title_matches(own.where("id % 2 = 0"), own.where("id % 2 = 1"), F.lower(F.trim("lang")), F.lower(F.trim(F.substring("text", 1, 8))))
-    return found.select("creator", "title", F.size("a_ids").cast("bigint").alias("n_a"), F.get("b_ids", F.lit(0)).alias("first_b"))
+    labelled = own.join(read(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    found = relating.title_matches(labelled, own, F.lower(F.trim("lang")), F.lower(F.trim(F.substring_index("text", "\n", 1))))
+    return found.select("creator", "title", F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), F.get("b_ids", F.lit(0)).alias("first_b"))
 
 
 @query("SELECT a.doc_id, min(b.doc_id) AS first_same, count(*)::BIGINT AS same FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) GROUP BY a.doc_id HAVING count(*) > 1")
@@ -172,20 +177,120 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return protocol.manifest(own).withColumns({"duration_s": F.round("duration_s", 6), "expected_time_scale": F.round("expected_time_scale", 6)})
 
 
+@query("""WITH g AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings) SELECT label::VARCHAR AS content_id, count(*)::BIGINT AS n_rows, max(frame)::BIGINT AS last_frame FROM g WHERE frame % 4 = 0 GROUP BY 1""")
 def stream_enroll(spark: SparkSession, sf: str) -> DataFrame:
-    """Recordings enrolled from a stream of files, then counted; tested for one copy of each, whatever the batches."""
-    import tempfile
-    import uuid
-
+    """Recordings enrolled from a stream of files, a file for each part of them, then counted."""
     from refrain.streaming.enroll import enroll_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"  # unset only on one machine
-    folder = f"{shared.rstrip('/')}/enroll-{uuid.uuid4().hex}"
+    folder = f"{files.shared_folder(spark)}/enroll-{uuid.uuid4().hex}"
     prints = frames(spark, sf).select(F.col("content_id").cast("string").alias("content_id"), "frame", "v")
-    prints.repartition(1).write.parquet(f"{folder}/in")
+    prints.repartition("content_id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(prints.schema).parquet(f"{folder}/in")
     enroll_stream(stream, f"{folder}/gallery", f"{folder}/state", 4).awaitTermination()
     return spark.read.parquet(f"{folder}/gallery").groupBy("content_id").agg(F.count("*").alias("n_rows"), F.max("frame").alias("last_frame"))
 
 
-QUERIES["stream_enroll"] = stream_enroll
+def roles_sql(n: str, t: str) -> str:
+    """The role of the n-th of t in order, by shares summed as the engine sums them."""
+    reached, cases, terms = "", [], []
+    for who, share in protocol.ROLES:
+        terms.append(f"{share}::DOUBLE")
+        reached = terms[0] if len(terms) == 1 else f"({reached} + {terms[-1]})"
+        cases.append(f"WHEN {n} <= round_even({t} * {reached}, 0) THEN '{who}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+@query("""SELECT c_custkey, 'test_known' AS native_role, CASE WHEN c_nationkey % 4 = 0 THEN 'calibration' ELSE 'test' END || CASE WHEN sha256('open:' || c_name)[1:1] < '8' THEN '_known' ELSE '_unknown' END AS open_role FROM customer""")
+def session_protocol(spark: SparkSession, sf: str) -> DataFrame:
+    own = read(spark, sf, "customer").select(F.col("c_custkey").alias("reference_id"), F.col("c_name").alias("creator"), F.concat(F.lit("s"), F.pmod("c_nationkey", F.lit(4))).alias("session"))
+    return protocol.session_protocol(own, "s0", "open").select(F.col("reference_id").alias("c_custkey"), "native_role", "open_role")
+
+
+@query("""WITH o AS (SELECT p_partkey + 1000000 AS source_id, p_size + 5.0::DOUBLE AS duration_s, row_number() OVER (ORDER BY sha256('x:' || (p_partkey + 1000000)), p_partkey) AS n, count(*) OVER () AS t FROM part)
+SELECT s_suppkey::VARCHAR AS query_id, s_suppkey AS source_id, CASE WHEN s_suppkey % 3 = 0 THEN 'test_unknown' ELSE 'test_known' END AS role, CASE WHEN s_suppkey % 3 = 0 THEN 'original' END AS population, 1.0::DOUBLE AS start_s, 5.0::DOUBLE AS duration_s, 1.0::DOUBLE AS expected_s FROM supplier
+UNION ALL SELECT 'extra:' || source_id, source_id, CASE WHEN n <= round_even(0.2::DOUBLE * t, 0) THEN 'calibration_unknown' ELSE 'test_unknown' END, 'additional', (duration_s - 5) / 2, 5.0, (duration_s - 5) / 2 FROM o""")
+def extended_unknowns(spark: SparkSession, sf: str) -> DataFrame:
+    role = F.when(F.col("s_suppkey") % 3 == 0, "test_unknown").otherwise("test_known")
+    queries = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("source_id"), role.alias("role"), F.lit(1.0).alias("start_s"), F.lit(5.0).alias("duration_s"), F.lit(1.0).alias("expected_s"))
+    extra = read(spark, sf, "part").select((F.col("p_partkey") + 1000000).alias("source_id"), (F.col("p_size") + F.lit(5.0)).alias("duration_s"))
+    return protocol.extended_unknowns(queries, extra, queries, "x")
+
+
+@query(f"""WITH r AS (SELECT c_nationkey || '-' || c_custkey AS reference_id, c_nationkey::VARCHAR AS speaker, 3.0::DOUBLE + c_custkey % 20 AS duration_s FROM customer WHERE 3 + c_custkey % 20 >= 6),
+o AS (SELECT speaker, row_number() OVER (ORDER BY sha256('sp:' || speaker), speaker) AS n, count(*) OVER () AS t FROM (SELECT DISTINCT speaker FROM r)), w AS (SELECT speaker, {roles_sql('n', 't')} AS role FROM o)
+SELECT reference_id || ':' || condition AS query_id, reference_id, r.speaker, role, condition, (duration_s - 5) / 2 AS start_s FROM r JOIN w ON w.speaker = r.speaker, (SELECT unnest({list(protocol.CONDITIONS)}) AS condition) WHERE role <> 'pca_fit'""")
+def speech_protocol(spark: SparkSession, sf: str) -> DataFrame:
+    own = read(spark, sf, "customer").select(F.concat_ws("-", "c_nationkey", "c_custkey").alias("reference_id"), (F.lit(3.0) + F.col("c_custkey") % 20).alias("duration_s"))
+    return protocol.speech_protocol(own, "sp")
+
+
+@query("""SELECT c_mktsegment AS subset, c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS unseen, count(*)::BIGINT AS refs, sum(n)::BIGINT AS queries FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""")
+def exposure_audit(spark: SparkSession, sf: str) -> DataFrame:
+    refs = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("reference_id")).agg(F.count("*").alias("n"))
+    catalogue = read(spark, sf, "customer").select(F.col("c_custkey").alias("reference_id"), F.col("c_mktsegment").alias("subset"))
+    return protocol.unseen(refs, catalogue, ["BUILDING", "MACHINERY"]).groupBy("subset", "unseen").agg(F.count("*").alias("refs"), F.sum("n").alias("queries"))
+
+
+LEDGER = """ledger AS (SELECT l_orderkey AS key, count_if(l_linestatus = 'O') + count_if(l_linestatus = 'F') AS found, count(*) + (l_orderkey % 97 = 0)::INT AS total FROM lineitem GROUP BY l_orderkey)"""
+
+
+def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+    own = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count_if(F.col("l_linestatus") == "O").alias("o"), F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count("*").alias("total"))
+    own = own.withColumn("total", F.col("total") + F.when(F.col("key") % 97 == 0, 1).otherwise(0))
+    return validate.ledger(own, "key", ["o", "f"], "total")
+
+
+@query(f"WITH {LEDGER} SELECT key, total::BIGINT AS total, found::BIGINT AS found FROM ledger WHERE total <> found")
+def ledger_sums(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger(spark, sf)
+
+
+CHRONOLOGY = """steps AS (SELECT user_id, event_type, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events WHERE event_id % 7 < 2 GROUP BY 1, 2), wanted AS (SELECT user_id, n, ['view', 'click', 'purchase'][n] AS step FROM (SELECT DISTINCT user_id FROM events), range(1, 4) t(n)),
+chronology AS (SELECT * FROM (SELECT w.user_id, w.n, w.step, s.first, lag(s.last) OVER (PARTITION BY w.user_id ORDER BY n) AS over FROM wanted w LEFT JOIN steps s ON s.user_id = w.user_id AND s.event_type = w.step) WHERE first IS NULL OR coalesce(first <= over, false))"""
+
+
+def _chronology(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.expr("unix_micros(cast(ts as timestamp))")
+    events = read(spark, sf, "events").select("user_id", F.when(F.col("event_id") % 7 < 2, F.col("event_type")).otherwise("other").alias("step"), at.alias("at"))
+    return validate.chronology(events, "user_id", ["view", "click", "purchase"])
+
+
+@query(f"WITH {CHRONOLOGY} SELECT user_id, step, CASE n WHEN 2 THEN 'view' WHEN 3 THEN 'click' END AS before FROM chronology")
+def chronology_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return _chronology(spark, sf)
+
+
+REDERIVED = """b AS (SELECT doc_id AS i, n_chars AS n, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 10 END AS found_id, doc_id % 5 AS target_id, (doc_id % 17)::DOUBLE AS offset_s, (doc_id % 13)::DOUBLE AS expected_s, (n_chars % 100) / 100.0::DOUBLE AS f, (n_chars % 7)::DOUBLE AS m FROM documents),
+c AS (SELECT *, coalesce(found_id = target_id, false) AS ok, coalesce(found_id = target_id, false) AND abs(offset_s - expected_s) <= 2 AS near FROM b),
+rederived AS (SELECT i, 'query' AS rule FROM c WHERE i % 23 = 0 UNION ALL SELECT i, 'source_id' FROM c WHERE i % 23 <> 0 AND i % 19 = 0 UNION ALL SELECT i, 'role' FROM c WHERE i % 23 <> 0 AND i % 29 = 0 UNION ALL SELECT i, 'target_id' FROM c WHERE i % 23 <> 0 AND i % 31 = 0
+UNION ALL SELECT i, 'expected_s' FROM c WHERE i % 23 <> 0 AND i % 37 = 0 UNION ALL SELECT i, 'gallery' FROM c WHERE found_id > 7 UNION ALL SELECT i, 'finite' FROM c WHERE i % 41 = 0 UNION ALL SELECT i, 'correct' FROM c WHERE i % 43 = 0
+UNION ALL SELECT i, 'localized' FROM c WHERE i % 47 = 0 UNION ALL SELECT i, 'score' FROM c WHERE found_id IS NOT NULL AND (i % 41 = 0 OR i % 13 = 0))"""
+
+
+def _rederived(spark: SparkSession, sf: str) -> DataFrame:
+    i, n = F.col("doc_id"), F.col("n_chars")
+    every = lambda k: i % k == 0
+    own = read(spark, sf, "documents").select(
+        i.alias("query_id"), (i % 7).alias("source_id"), F.lit("test_known").alias("role"), (i % 5).alias("target_id"), F.when(~every(11), i % 10).alias("found_id"),
+        (i % 13).cast("double").alias("expected_s"), (i % 17).cast("double").alias("offset_s"), (n % 100 / 100).alias("vote_fraction"), (n % 7).cast("double").alias("mean_distance"),
+    )
+    right = F.coalesce(F.col("found_id") == F.col("target_id"), F.lit(False))
+    near = right & (F.abs(F.col("offset_s") - F.col("expected_s")) <= 2)
+    q = F.col("query_id")
+    rows = own.withColumns({
+        "score": F.when(q % 41 == 0, float("nan")).otherwise(F.col("vote_fraction") / (1 + F.col("mean_distance")) + F.when(q % 13 == 0, 0.01).otherwise(0.0)),
+        "correct": F.when(q % 43 == 0, ~right).otherwise(right), "localized": F.when(q % 47 == 0, ~near).otherwise(near),
+    })
+    asked = own.where(q % 23 != 0).select("query_id", F.when(q % 19 == 0, -1).otherwise(F.col("source_id")).alias("source_id"), F.when(q % 29 == 0, "other").otherwise(F.col("role")).alias("role"), F.when(q % 31 == 0, -1).otherwise(F.col("target_id")).alias("target_id"), F.when(q % 37 == 0, -1.0).otherwise(F.col("expected_s")).alias("expected_s"))
+    return validate.rederived(rows, asked, spark.range(8).select(F.col("id").alias("content_id")))
+
+
+@query(f"WITH {REDERIVED} SELECT i AS query_id, rule FROM rederived")
+def rederived_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _rederived(spark, sf)
+
+
+@query(f"""WITH {LEDGER}, {CHRONOLOGY}, {REDERIVED}, every AS (SELECT 'ledger' AS "check", count(*) AS violations FROM ledger WHERE total <> found UNION ALL SELECT 'chronology', count(*) FROM chronology UNION ALL SELECT 'rows', count(*) FROM rederived UNION ALL SELECT 'regions', 0)
+SELECT "check", violations::BIGINT AS violations, violations = 0 AS passed FROM every""")
+def composed_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.audit({"ledger": _ledger(spark, sf), "chronology": _chronology(spark, sf), "rows": _rederived(spark, sf), "regions": validate.repeated(read(spark, sf, "region"), ["r_regionkey"])})

@@ -22,15 +22,19 @@ def threshold(scores: DataFrame, target: float, by: list[str] | None = None, acc
     if not 0 <= target < 1:
         raise ValueError("target must be in [0, 1)")
     good = F.when(F.isnan("score") | F.col("score").isNull() | (F.abs("score") == float("inf")), F.raise_error(F.lit("a score is not finite"))).otherwise(F.col("score"))
-    checked = scores.select(*by, good.cast("double").alias("score"))
+    checked = scores.select(*by, good.cast("double").alias("gate_score"))
     slack = 2 / accuracy
-    ends = checked.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("score", [max(0.0, 1 - target - slack), min(1.0, 1 - target + slack)], accuracy).alias("ends")).where("n > 0")
+    levels = [max(0.0, 1 - target - slack), min(1.0, 1 - target + slack)]
+    ends = checked.groupBy(*by).agg(F.count("*").alias("gate_n"), F.percentile_approx("gate_score", levels, accuracy).alias("gate_ends")).where("gate_n > 0")
     met = checked.join(ends, by) if by else checked.crossJoin(F.broadcast(ends))  # one row
-    some = met.where(F.col("score") >= F.get("ends", F.lit(0))).groupBy(*by, "n", F.when(F.col("score") <= F.get("ends", F.lit(1)), F.col("score")).alias("score")).agg(F.count("*").alias("c"))
-    placed = some.withColumn("reached", F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc_nulls_first("score"))))
-    first = placed.where((F.col("reached") > F.floor(F.lit(target) * F.col("n"))) & F.col("score").isNotNull())
-    found = first.groupBy(*by).agg(F.max_by(F.struct("score", "n", (F.col("reached") - F.col("c")).alias("above")), "score").alias("g"))
-    return found.where("g is not null").select(*by, F.col("g.score").alias("gate"), F.col("g.n").alias("unknowns"), F.col("g.above").alias("false_accepts"))
+    low, high = F.get("gate_ends", F.lit(0)), F.get("gate_ends", F.lit(1))
+    between = F.when(F.col("gate_score") <= high, F.col("gate_score")).alias("gate_score")
+    some = met.where(F.col("gate_score") >= low).groupBy(*by, "gate_n", between).agg(F.count("*").alias("gate_c"))
+    placed = some.withColumn("gate_reached", F.sum("gate_c").over(Window.partitionBy(*by).orderBy(F.desc_nulls_first("gate_score"))))
+    first = placed.where((F.col("gate_reached") > F.floor(F.lit(target) * F.col("gate_n"))) & F.col("gate_score").isNotNull())
+    won = F.struct(F.col("gate_score").alias("score"), F.col("gate_n").alias("n"), (F.col("gate_reached") - F.col("gate_c")).alias("above"))
+    found = first.groupBy(*by).agg(F.max_by(won, "gate_score").alias("gate_won")).where("gate_won is not null")
+    return found.select(*by, F.col("gate_won.score").alias("gate"), F.col("gate_won.n").alias("unknowns"), F.col("gate_won.above").alias("false_accepts"))
 
 
 #: The normal quantile of a two-sided 95 % interval; a fixed value.

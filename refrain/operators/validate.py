@@ -59,15 +59,16 @@ def rederived(rows: DataFrame, queries: DataFrame, gallery: DataFrame, tolerance
     correct = F.coalesce(F.col("found_id") == F.col("target_id"), F.lit(False))
     near = F.coalesce(F.abs(F.col("offset_s") - F.col("expected_s")) <= tolerance_s, F.lit(False))
     score = F.col("vote_fraction") / (1 + F.col("mean_distance"))
+    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
     same = lambda c: F.col(c).eqNullSafe(F.col(f"want_{c}"))
     rules = {
         "query": F.col("asked").isNotNull(),
         **{c: F.col("asked").isNull() | same(c) for c in ("source_id", "role", "target_id", "expected_s")},
         "gallery": F.col("found_id").isNull() | F.col("enrolled").isNotNull(),
-        "finite": F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf")),
+        "finite": finite,
         "correct": F.col("correct").eqNullSafe(correct),
         "localized": F.col("localized").eqNullSafe(correct & near),
-        "score": F.col("found_id").isNull() | F.coalesce(F.abs(F.col("score") - score) <= rel * F.greatest(F.abs("score"), F.abs(score)), F.lit(False)),
+        "score": F.col("found_id").isNull() | finite & F.coalesce(F.abs(F.col("score") - score) <= rel * F.greatest(F.abs("score"), F.abs(score)), F.lit(False)),
     }
     broken = F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in rules.items())))
     return met.select("query_id", F.explode(broken).alias("rule"))

@@ -60,5 +60,5 @@ class Gallery:
 
     @staticmethod
     def load(spark, path: str) -> Gallery:
-        found = spark.read.parquet(f"{path}/centroids").collect()  # as many rows as centroids
+        found = spark.read.parquet(f"{path}/centroids").orderBy("id").collect()  # as many rows as centroids
         return Gallery(spark.read.parquet(f"{path}/rows"), tuple((r.id, list(r.v)) for r in found) or None, found[0].probes if found else 16)
