@@ -60,3 +60,10 @@ def test_nulls_repeats_and_other_columns(spark):
     assert found.count() == 2 * len(URLS) and "won" in found.columns and "a.b" in found.columns
     assert {r.verdict for r in found.where("url = 'http://com/'").collect()} == {"block"}
     assert u.judge(frame(spark, []), rules).collect() == []
+
+
+def test_the_plan_reads_the_filter_once(spark):
+    plan = u.judge(frame(spark, URLS), listed(spark, u.RULES))._jdf.queryExecution().toString()
+    assert plan.count("Subquery subquery") <= 1  # the lengths of the rules; the result reads a stored table
+    keys = spark.range(10).select(F.concat(F.lit("k"), "id").alias("key"))
+    assert "scalar-subquery" not in u.possible(keys, keys, 10)._jdf.queryExecution().toString()
