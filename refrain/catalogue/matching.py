@@ -11,6 +11,7 @@ from refrain.catalogue.base import FRAMES, frames, r6, read, signals, sql_dot, s
 from refrain.functions import clock, vectors
 from refrain.operators import evaluate, hashing, knn, matching, relating, validate
 from refrain.plans.gallery import Gallery
+from refrain.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -240,7 +241,7 @@ def _lsh(votes: int):
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         q = hashing.minhash_bins(read(spark, sf, "benchmark"), "item_id", "text", 5, 2).withColumnRenamed("item_id", "qid")
-        r = hashing.minhash_bins(read(spark, sf, "documents"), "doc_id", "text", 5, 2).withColumnRenamed("doc_id", "rid")
+        r = hashing.minhash_bins(files.evened(read(spark, sf, "documents")), "doc_id", "text", 5, 2).withColumnRenamed("doc_id", "rid")
         return matching.lsh_votes(q, r, votes)
 
     return run
@@ -261,7 +262,7 @@ query(lsh_sql(2), "lsh_votes_2")(_lsh(2))
 def _lsh_whole(votes: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         q = hashing.minhash_bins(read(spark, sf, "benchmark"), "item_id", "text", 25, 4).withColumnRenamed("item_id", "qid")
-        r = hashing.minhash_bins(read(spark, sf, "documents"), "doc_id", "text", 25, 4).withColumnRenamed("doc_id", "rid")
+        r = hashing.minhash_bins(files.evened(read(spark, sf, "documents")), "doc_id", "text", 25, 4).withColumnRenamed("doc_id", "rid")
         return matching.lsh_votes(q, r, votes)
 
     return run
@@ -289,7 +290,7 @@ k AS (SELECT query_id, content_id, off, matched, row_number() OVER (PARTITION BY
 SELECT query_id, content_id, "off"::BIGINT AS "offset", matched::BIGINT AS matched FROM k WHERE rank <= 3""")
 def landmark_offsets(spark: SparkSession, sf: str) -> DataFrame:
     q = hashing.landmarks(read(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
-    r = hashing.landmarks(read(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "content_id")
+    r = hashing.landmarks(files.evened(read(spark, sf, "documents")), "doc_id", "text").withColumnRenamed("doc_id", "content_id")
     return matching.landmark_offsets(q, r, limit=3).select("query_id", "content_id", "offset", "matched")
 
 

@@ -31,9 +31,12 @@ def hashed_interval(sums: DataFrame, replicates: int = 200) -> DataFrame:
 
 
 def hashed_crossed_interval(sums: DataFrame, replicates: int = 200) -> DataFrame:
-    """The same with weights of two crossed clusterings (cluster, montage, s, n), multiplied."""
-    draws = sums.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("w", weight(F.col("cluster"), F.col("replicate"), "c") * weight(F.col("montage"), F.col("replicate"), "m"))
+    """The same with weights of two crossed clusterings (cluster, montage, s, n), multiplied. Weights are hashed once for each cluster, and once for each montage."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    montages = sums.select("montage").distinct().withColumn("replicate", each).withColumn("w", weight(F.col("montage"), F.col("replicate"), "m")).where("w > 0")
+    first = sums.groupBy("cluster", "montage").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).join(montages, "montage")
+    first = first.groupBy("cluster", "replicate").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    draws = first.withColumn("w", weight(F.col("cluster"), F.col("replicate"), "c"))
     return _interval(sums, draws.groupBy("replicate").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("rate")))
 
 

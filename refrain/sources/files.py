@@ -30,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='refrain-')}"
 
 
+def evened(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores where its files would keep less than a quarter of them busy, as a single row group does. A large input has more parts
+    than that, and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def decoder_info() -> dict[str, str]:
     """What decodes audio here, for the keys of caches."""
     return {"decoder": "wave", "python": platform.python_version(), "numpy": np.__version__}
