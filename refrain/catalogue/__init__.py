@@ -6,10 +6,10 @@ queries, even ones references.
 
 from __future__ import annotations
 
-from refrain.catalogue import evaluation, features, matching, protocols
+from refrain.catalogue import evaluation, features, matching, protocols, sources
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (features, matching, protocols, evaluation):
+for part in (features, matching, protocols, evaluation, sources):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL

@@ -249,6 +249,14 @@ def pcm_crop(pcm: Column, rate: Column, start_s: Column, seconds: Column, slack:
     return F.when(F.size(found) >= n - slack, found)
 
 
+def save_crops(crops: DataFrame, path: str, seconds: float, slack: int = 5) -> DataFrame:
+    """crops (pcm, sample_rate, ...), written and read back. A crop whose length is off by more than `slack` samples raises an error."""
+    off = F.abs(F.size("pcm") - F.rint(F.lit(seconds) * F.col("sample_rate"))) > slack
+    checked = F.when(off, F.raise_error(F.lit("a crop has another length"))).otherwise(F.col("pcm"))
+    crops.withColumn("pcm", checked).write.mode("overwrite").parquet(path)
+    return crops.sparkSession.read.schema(crops.schema).parquet(path)
+
+
 def boundary_variants(signals: DataFrame) -> DataFrame:
     """signals (pcm, sample_rate, expected_start, scale), once for each digital boundary: unchanged, half a second or a second of silence before, a second less; the expected start moves with it."""
     rate, p = F.col("sample_rate"), F.col("pcm")
