@@ -239,19 +239,19 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     same = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = scratch.stored(same.where("id is not null"), "classes")
     keys = classes.select(F.explode("bands").alias("key"), "id")
-    leaders = scratch.stored(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last"), "leaders")
+    leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
     stars = scratch.stored(keys.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
     rest = components(stars, scratch)
     clusters = rest.unionByName(rest.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "cluster")
     weighed = clusters.join(classes.groupBy("id").agg(F.sum("n_shingles").alias("w")), "id")
-    sizes = scratch.stored(weighed.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("w"), p).alias("blocks")), "sizes")
+    sizes = weighed.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("w"), p).alias("blocks"))
     members = scratch.stored(clusters.join(sizes, "cluster").select("id", "cluster", "blocks"), "members")
     n = min(bloom.blocks_for(members.count()), bloom.MOST_BLOCKS)
-    wanted = bloom.possible(docs.withColumnRenamed("doc_id", "id"), F.col("id"), scratch.stored(bloom.filter_of(members, F.col("id"), n), "filter"), n)
+    wanted = bloom.possible(docs.withColumnRenamed("doc_id", "id"), F.col("id"), bloom.filter_of(members, F.col("id"), n), n)
     texts = members.join(wanted.hint("merge"), "id").select("cluster", "blocks", "id", "text")
     sets = scratch.stored(_with_sets(texts, p), "sets")
     links = _links(sets.where("blocks = 1").select("cluster", F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q"), "id", "found"), p)
-    if not sizes.where("blocks > 1").isEmpty():
+    if not members.where("blocks > 1").isEmpty():
         links = links.unionByName(_large_links(sets.where("blocks > 1"), stars, p, scratch))
     linked = components(links, scratch)
     moved = stored(classes.select("set_key", "id", "n").join(linked, "id", "left").where("n > 1 or component is not null").select("set_key", F.coalesce("component", "id").alias("component")), "moved")

@@ -163,15 +163,14 @@ def disclosing(docs: DataFrame, p: PiiParams) -> DataFrame:
     held = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("rest").alias("rest")), "held")
     words = held.select("key", "n", F.explode(_words(F.col("rest"))).alias("term"))
     sized = held.select("key", "n", "entities", F.size(_words(F.col("rest"))).alias("words"))
-    kinds, members = classes(stored(sized.select("key", "n", "words", F.explode("entities").alias("entity")), "holding"))
+    kinds, members = classes(sized.select("key", "n", "words", F.explode("entities").alias("entity")))
     counted = docs.select(F.explode(_words(_without_emails(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     total = docs.agg(F.count("*").alias("total"))
-    words = stored(words.join(counted, "term"), "words")
     asked = members.join(kinds, "class").crossJoin(F.broadcast(total))  # total: one row
     # the others fall short even if one were never met without the other
-    met = stored(asked.join(words, "key").where(_tells(F.least("with_entity", "with_term"), p)).select("class", "key", "n", "term", "with_entity", "with_term", "weighed", "total"), "met")
+    met = stored(asked.join(words.join(counted, "term"), "key").where(_tells(F.least("with_entity", "with_term"), p)).select("class", "key", "n", "term", "with_entity", "with_term", "weighed", "total"), "met")
     both = met.groupBy("class", "term", "with_entity", "with_term", "weighed", "total").agg(F.sum("n").alias("both"))
-    told = stored(both.where(_tells(F.col("both"), p)).select("class", "term"), "told")
+    told = both.where(_tells(F.col("both"), p)).select("class", "term")
     chosen = met.select("class", "term", "key").join(told, ["class", "term"]).select("key", "term").distinct()
     chosen = stored(chosen, "chosen")
     each = held.join(chosen.select("key").distinct(), "key", "left_semi").select("key", F.explode(matches(F.col("rest"), TERM, len(PATTERNS))).alias("t")).withColumn("term", F.lower("t.value"))
