@@ -168,7 +168,8 @@ def disclosing(docs: DataFrame, p: PiiParams) -> DataFrame:
     total = docs.agg(F.count("*").alias("total"))
     asked = members.join(kinds, "class").crossJoin(F.broadcast(total))  # total: one row
     # the others fall short even if one were never met without the other
-    met = stored(asked.join(words.join(counted, "term"), "key").where(_tells(F.least("with_entity", "with_term"), p)).select("class", "key", "n", "term", "with_entity", "with_term", "weighed", "total"), "met")
+    met = asked.join(words.join(counted, "term"), "key").where(_tells(F.least("with_entity", "with_term"), p))
+    met = stored(met.select("class", "key", "n", "term", "with_entity", "with_term", "weighed", "total").hint("rebalance"), "met")  # few of the joined rows are left
     both = met.groupBy("class", "term", "with_entity", "with_term", "weighed", "total").agg(F.sum("n").alias("both"))
     told = both.where(_tells(F.col("both"), p)).select("class", "term")
     chosen = met.select("class", "term", "key").join(told, ["class", "term"]).select("key", "term").distinct()
